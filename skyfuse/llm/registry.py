@@ -5,7 +5,9 @@ from __future__ import annotations
 import importlib
 
 _MODULES = {
+    "op4_simhash": "simhash",
     "op6_substring_dedup": "substrings",
+    "op10_topk": "topk",
 }
 
 
