@@ -6,7 +6,9 @@ import importlib
 
 _MODULES = {
     "op4_simhash": "simhash",
+    "op5_mixing": "mixing",
     "op6_substring_dedup": "substrings",
+    "op7_secrets": "secrets",
     "op10_topk": "topk",
 }
 
@@ -20,4 +22,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from skyfuse.llm import mixing
+
+    return {"op5_mixing": mixing.SQL}
