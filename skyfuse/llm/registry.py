@@ -9,6 +9,7 @@ _MODULES = {
     "op5_mixing": "mixing",
     "op6_substring_dedup": "substrings",
     "op7_secrets": "secrets",
+    "op8_toxicity": "toxicity",
     "op9_bpe": "bpe",
     "op10_topk": "topk",
 }
