@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 
 _MODULES = {
+    "op2_html": "html",
     "op4_simhash": "simhash",
     "op5_mixing": "mixing",
     "op6_substring_dedup": "substrings",
