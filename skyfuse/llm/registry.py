@@ -6,6 +6,7 @@ import importlib
 
 _MODULES = {
     "op2_html": "html",
+    "op3_embeddings": "vectors",
     "op4_simhash": "simhash",
     "op5_mixing": "mixing",
     "op6_substring_dedup": "substrings",
