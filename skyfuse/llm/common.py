@@ -15,8 +15,6 @@ from skyfuse.session import ship, table
 
 __all__ = ["ship", "table", "shared_dir", "materialize", "text_slices", "parallelism"]
 
-_PAT_WORD = r"[^\x20\x09-\x0D]+"
-
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir). Where
@@ -30,12 +28,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df into the shared folder and read it back: later reads neither
-    recompute it nor depend on the executors that made it."""
+def materialize(df: DataFrame, *by: str) -> DataFrame:
+    """Write df into the shared folder, parted by the columns `by`, and read it back:
+    later reads neither recompute it nor depend on the executors that made it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/skyfuse/{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 
 _MODULES = {
+    "op1_ctw": "ctw",
     "op2_html": "html",
     "op3_embeddings": "vectors",
     "op4_simhash": "simhash",

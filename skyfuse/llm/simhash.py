@@ -221,6 +221,18 @@ def simhash_dedup(docs: DataFrame, limit: int = 2, shingle: int = 3) -> DataFram
     return own.join(named, own["fp"] == named["of_fp"]).select("doc_id", "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, limit: int = 2, shingle: int = 3) -> DataFrame:
+    """The rows of docs whose doc_id is their component's smallest; repeated rows
+    once. Rows without an id stay, one of each text, where none of their component
+    has an id."""
+    kept = simhash_dedup(docs, limit, shingle).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = materialize(kept.select(F.col("doc_id").alias("__kept"), F.col("fp").alias("__fp")).distinct())
+    named = docs.join(kept.select("__kept").where("__kept is not null"), F.col("doc_id") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
+    if not kept.where("__kept is null").head(1):
+        return named
+    return named.union(docs.where(F.col("doc_id").isNull()).dropDuplicates(["text"]))
+
+
 def op4_simhash(spark, sf_dir):
     out = simhash_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

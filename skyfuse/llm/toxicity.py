@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from skyfuse.llm.common import materialize, ship, table, text_slices
 
@@ -258,21 +259,22 @@ def _score(held):
         for part, raw in text_slices(batches, most=4 << 20):
             x = np.array([features(*hits_of(t.decode(), matcher), m["weight"]) for t in raw])
             z = m["w"][0] + ((x - m["mean"]) / m["sd"]) @ m["w"][1:]
-            kept = [i for i, f in enumerate(part.schema) if f.name != "text"]
-            yield pa.record_batch([part.column(i) for i in kept] + [pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], [part.schema.field(i).name for i in kept] + ["score"])
+            yield pa.record_batch([*part.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], [*part.schema.names, "score"])
 
     return run
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
-    """doc_id and score (0 to 1) of every row. Null texts count as empty, which get
-    the score of a text without words; repeated rows score alike; columns but doc_id
-    and text are left out; an empty table gives an empty one."""
+    """docs with score (0 to 1) for every row; a column of docs named score gives way.
+    Null texts count as empty, which get the score of a text without words;
+    repeated rows score alike; other columns stay as they are and have no part in
+    the score; an empty table gives an empty one."""
     spark = docs.sparkSession
     ship(spark)
     held = spark.sparkContext.broadcast(model)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_score(held), f"doc_id {kind}, score double")
+    docs = docs.drop("score")
+    schema = StructType([*docs.schema.fields, StructField("score", DoubleType())])
+    return docs.mapInArrow(_score(held), schema)
 
 
 def fold(doc_id: str = "doc_id"):
