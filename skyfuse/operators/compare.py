@@ -15,16 +15,23 @@ def both(a: DataFrame, b: DataFrame, keys: list[str], value: str = "aod") -> Dat
     return a.select(*keys, F.col(value).alias("a")).join(b.select(*keys, F.col(value).alias("b")), keys, "full")
 
 
+def pearson(x: Column, y: Column) -> Column:
+    """Correlation over the rows that hold both; NULL where either does not vary."""
+    good = x.isNotNull() & y.isNotNull()
+    a, b = F.when(good, x), F.when(good, y)
+    sa, sb = F.stddev_pop(a), F.stddev_pop(b)
+    return F.when((sa > 1e-12) & (sb > 1e-12), F.try_divide(F.covar_pop(a, b), sa * sb))
+
+
 def agreement(pairs: DataFrame, step: str = "t") -> DataFrame:
     """Per step, and over all (step NULL): n, Pearson r, RMSE, MAE, means, and the
     percentages of values missing; pairs with both values count."""
     d = F.col("a") - F.col("b")
     good = F.col("a").isNotNull() & F.col("b").isNotNull()
     x, y = F.when(good, F.col("a")), F.when(good, F.col("b"))
-    flat = (F.count(F.when(good, 1)) < 2) | (F.stddev_pop(x) < 1e-12) | (F.stddev_pop(y) < 1e-12)
     return pairs.cube(step).agg(
         F.count(F.when(good, 1)).alias("n"),
-        F.when(~flat, F.corr(x, y)).alias("r"),
+        pearson(x, y).alias("r"),
         F.sqrt(F.avg(d * d)).alias("rmse"),
         F.avg(F.abs(d)).alias("mae"),
         F.avg(x).alias("mean_a"),
@@ -67,7 +74,7 @@ def rmse_by_step(pairs: DataFrame, keys: list[str]) -> DataFrame:
 def coefficient_agreement(a: DataFrame, b: DataFrame) -> DataFrame:
     """Per step: correlation of two state series, and the ratio of their mean sizes."""
     p = both(a, b, ["time_step", "coef_idx"], "value").groupBy("time_step")
-    return p.agg(F.corr("a", "b").alias("corr"), F.try_divide(F.avg(F.abs("a")), F.avg(F.abs("b"))).alias("size_ratio"))
+    return p.agg(pearson(F.col("a"), F.col("b")).alias("corr"), F.try_divide(F.avg(F.abs("a")), F.avg(F.abs("b"))).alias("size_ratio"))
 
 
 def same_counts(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
