@@ -92,15 +92,17 @@ def separate(buf: np.ndarray, code: np.ndarray, depth: int) -> np.ndarray:
 
 class Tree:
     """Nodes by depth: sorted contexts (the newest byte lowest) and counts of what
-    follows. Symbols are the bytes met in training, in order, and one for any
-    other, whose probability those bytes share evenly."""
+    follows. Symbols are the bytes met in training, in order; the other bytes are
+    dealt to the symbols that are left and share their probability evenly."""
 
     def __init__(self, depth: int, contexts: list[np.ndarray], counts: list[np.ndarray], known: np.ndarray):
         self.depth, self.contexts = depth, contexts
-        self.symbol = np.full(256, len(known), np.int64)
-        self.symbol[known] = np.arange(len(known))
-        self.share = np.where(self.symbol == len(known), -math.log10(max(1, 256 - len(known))), 0.0)
         width = counts[0].shape[1]
+        self.symbol = np.zeros(256, np.int64)
+        self.symbol[known] = np.arange(len(known))
+        others = np.setdiff1d(np.arange(256), known)
+        self.symbol[others] = len(known) + np.arange(len(others)) % max(1, width - len(known))
+        self.share = -np.log10(np.bincount(self.symbol, minlength=width))[self.symbol]
         self.first = np.concatenate([[0], np.cumsum([len(c) for c in contexts])])
         n = int(self.first[-1])
         parents = [np.zeros(0, np.int64)]
@@ -169,7 +171,7 @@ class Tree:
 
 
 def width_for(known: int) -> int:
-    """A power of two with room for the known symbols and the other one."""
+    """A power of two with room for the known symbols and one for others."""
     return max(2, 1 << known.bit_length()) if known < 256 else 256
 
 
@@ -268,7 +270,7 @@ def _apply(held_tree, held_words):
             at = np.minimum(np.searchsorted(frequent, h), max(len(frequent) - 1, 0))
             known = frequent[at] == h if len(frequent) else np.zeros(len(h), bool)
             n = len(raw)
-            base = np.bincount(words.doc[known], logs[at[known]], n) if len(h) else np.zeros(n)
+            base = np.bincount(words.doc[known], logs[at[known]], n).astype(float) if known.any() else np.zeros(n)
             rare = ~known
             offsets = np.concatenate([[0], np.cumsum(np.bincount(words.doc[rare], minlength=n))]).astype(np.int32)
             yield pa.record_batch(
