@@ -214,7 +214,8 @@ def state_reconstruction(spark, d):
 def kstep_forecast_small(spark, d):
     size = SMALL_N**2
     last = synth.state(spark, 5, 2 * size).where("time_step = 5").select("coef_idx", "value")
-    return rounded(spectral.forecast(frames.small_basis(spark), frames.small_transition(spark, size), last, 5, size), "field")
+    # products of short decimals end in a 5 too often for six places
+    return spectral.forecast(frames.small_basis(spark), frames.small_transition(spark, size), last, 5, size).withColumn("field", F.round("field", 9) + 0.0)
 
 
 def forecast_error(spark, d):

@@ -255,8 +255,8 @@ SQL: dict[str, str] = {
     "obs_rows": f"WITH {SMALL_BOTH}, {BASIS} SELECT sat, t + 1 AS t, col, count(*) AS n, round(sum(v * aod), 9) AS fy FROM images JOIN basis ON site = lat_i * 12 + lon_i + 1 WHERE aod IS NOT NULL GROUP BY ALL",
     "obs_summary": f"WITH {OBSERVED} SELECT t, count(*) FILTER (WHERE sat = 0) AS n1, count(*) FILTER (WHERE sat = 1) AS n2, greatest(count(*) FILTER (WHERE sat = 0), count(*) FILTER (WHERE sat = 1)) AS most FROM observed GROUP BY t",
     "state_reconstruction": f"WITH {BASIS}, {STATE} SELECT time_step, site, {r6('sum(v * value) FILTER (WHERE coef_idx <= 16)')} AS field, {r6('sum(v * value) FILTER (WHERE coef_idx > 16)')} AS bias FROM basis JOIN state ON col = (coef_idx - 1) % 16 + 1 GROUP BY time_step, site",
-    "kstep_forecast_small": f"WITH {BASIS}, {STATE}, {TRANSITION}, {ahead(5)} SELECT k, site, {cols('field')} FROM ahead5",
-    "forecast_error": f"WITH {SMALL_BOTH}, {BASIS}, {STATE}, {TRANSITION}, {ahead(5)}, two AS (SELECT k, round(field, 6) + 0.0 AS a, aod AS b FROM ahead5 JOIN images ON k = t + 1 AND site = lat_i * 12 + lon_i + 1 AND sat = 0 WHERE aod IS NOT NULL) {_pairs_stats('k')} FROM two GROUP BY k",
+    "kstep_forecast_small": f"WITH {BASIS}, {STATE}, {TRANSITION}, {ahead(5)} SELECT k, site, round(field, 9) + 0.0 AS field FROM ahead5",
+    "forecast_error": f"WITH {SMALL_BOTH}, {BASIS}, {STATE}, {TRANSITION}, {ahead(5)}, two AS (SELECT k, round(field, 9) + 0.0 AS a, aod AS b FROM ahead5 JOIN images ON k = t + 1 AND site = lat_i * 12 + lon_i + 1 AND sat = 0 WHERE aod IS NOT NULL) {_pairs_stats('k')} FROM two GROUP BY k",
     "prediction_pool": f"WITH {BASIS}, {STATE}, {TRANSITION}, {ahead(5)}, {ahead(4)} SELECT k, site, round(a.field - b.field, 9) + 0.0 AS diff FROM ahead5 a JOIN ahead4 b USING (k, site)",
     "matrix_power": f"WITH {TRANSITION}, two AS (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM trans a JOIN trans b ON a.j = b.i GROUP BY a.i, b.j) SELECT a.i, b.j, {r6('sum(a.v * b.v)')} AS v FROM two a JOIN trans b ON a.j = b.i GROUP BY a.i, b.j",
     "augmented_transition": f"WITH {TRANSITION} SELECT i, j, v FROM trans UNION ALL SELECT range::INT, range::INT + 16, 1.0::DOUBLE FROM range(1, 17) UNION ALL SELECT range::INT + 16, range::INT + 16, 1.0::DOUBLE FROM range(1, 17)",
