@@ -27,6 +27,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from skyfuse.llm import mixing
-
-    return {"op5_mixing": mixing.SQL}
+    return dict(importlib.import_module("skyfuse.llm.sql").SQL)
