@@ -27,7 +27,8 @@ DEPTH = 6
 NODES = 65536  # contexts of all lengths, the most frequent; the model has up to 256 numbers for each
 FREQUENT = 1 << 20  # most frequent words whose counts are broadcast; the others' are joined
 WORDS, GRAMS = 0, 1
-HELD = 2 << 20  # distinct counts a task holds before it sends them on
+SLICE = 3 << 19  # bytes of text in work at once
+HELD = 1 << 20  # distinct counts a task holds before it sends them on
 
 _LGAMMA = np.array([math.lgamma(k + 0.5) for k in range(4096)])
 _LFACT = np.array([math.lgamma(k + 1.0) for k in range(8192)])
@@ -111,7 +112,7 @@ class Tree:
             parents.append(np.searchsorted(contexts[d - 1], contexts[d] & mask))
         weighted = [np.zeros((len(c), width), np.float32) for c in contexts]  # log probability of what came after each node
         stop = [np.ones((len(c), width), np.float32) for c in contexts]
-        rest = [np.zeros((0, width), np.int64)] * (depth + 1)
+        rest = [np.zeros((0, width), np.uint32)] * (depth + 1)
         for d in range(depth, -1, -1):
             if not len(contexts[d]):
                 continue
@@ -123,12 +124,12 @@ class Tree:
             rest[d] = left
             for s in range(0, len(left), 2048):
                 part = slice(s, s + 2048)
-                ab = decisions(counts[d][part])
+                ab = decisions(counts[d][part].astype(np.int64))
                 own = log_kt(ab[..., 0], ab[..., 1])
                 if d == depth:
                     weighted[d][part] = own
                     continue
-                ab = decisions(left[part])
+                ab = decisions(left[part].astype(np.int64))
                 split = below[part] + log_kt(ab[..., 0], ab[..., 1])
                 both = math.log(0.5) + np.logaddexp(own, split)
                 weighted[d][part], stop[d][part] = both, np.exp(math.log(0.5) + own - both)
@@ -140,7 +141,7 @@ class Tree:
             now, still = np.zeros((size, width), np.float32), np.ones((size, width), np.float32)
             for s in range(0, size, 2048):
                 part = slice(s, s + 2048)
-                ab = decisions(counts[d][part]).astype(np.float64)
+                ab = decisions(counts[d][part].astype(np.int64)).astype(np.float64)
                 own = (ab[..., 1] + 0.5) / (ab.sum(2) + 1)
                 before = mixed[parents[d][part]].astype(np.float64) if d else np.zeros_like(own)
                 weight = open_[parents[d][part]].astype(np.float64) if d else np.ones_like(own)
@@ -148,7 +149,7 @@ class Tree:
                     last = before + weight * own
                 else:
                     now[part], still[part] = before + weight * stop[d][part] * own, weight * (1 - stop[d][part])
-                    ab = decisions(rest[d][part]).astype(np.float64)
+                    ab = decisions(rest[d][part].astype(np.int64)).astype(np.float64)
                     last = now[part] + still[part] * (ab[..., 1] + 0.5) / (ab.sum(2) + 1)
                 self.logs[self.first[d] + s : self.first[d] + s + len(own)] = symbol_logs(np.clip(last, 1e-9, 1 - 1e-9))
             mixed, open_ = now, still
@@ -198,7 +199,7 @@ def _counts(depth: int):
                 part = slice(s, s + (1 << 17))
                 yield pa.record_batch([pa.array(np.full(len(key[part]), kind, np.int32)), pa.array(key[part].view(np.int64)), pa.array(n[part])], ["kind", "key", "n"])
 
-        for _, raw in text_slices(batches):
+        for _, raw in text_slices(batches, most=SLICE):
             words = Words([normal(x, lower=True) for x in raw])
             for kind, keys in ((WORDS, words.hashes()[1]), (GRAMS, separate(words.buf, codes(words.buf, depth), depth))):
                 key, n = np.unique(keys, return_counts=True)
@@ -252,7 +253,7 @@ def grow(grams: DataFrame, depth: int = DEPTH, nodes: int = NODES) -> Tree:
             key, n = _numbers(level.join(F.broadcast(chosen.where(F.col("depth") == d).select("ctx")), "ctx", "left_semi"), "key", "n")
             key = key.view(np.uint64)
             np.add.at(got, (np.searchsorted(own[d], key >> np.uint64(8)), column[(key & np.uint64(255)).astype(np.int64)]), n)
-        counts.append(got)
+        counts.append(got if got.max(initial=0) >> 32 else got.astype(np.uint32))
     return Tree(depth, own, counts, known)
 
 
@@ -260,7 +261,7 @@ def _apply(held_tree, held_words):
     def run(batches):
         tree, (frequent, logs) = held_tree.value, held_words.value
         rng = np.random.default_rng()
-        for part, raw in text_slices(batches):
+        for part, raw in text_slices(batches, most=SLICE):
             words = Words([normal(x, lower=True) for x in raw])
             code, back = np.unique(separate(words.buf, codes(words.buf, tree.depth), tree.depth), return_inverse=True)
             sums = np.concatenate([[0.0], np.cumsum(tree.score(code)[back])])
