@@ -4,9 +4,14 @@ A byte is eight binary decisions, each with its own place in a tree of the bits
 before it. Each decision is predicted in the contexts of the 0 to DEPTH bytes
 before it by Krichevsky-Trofimov estimates, and every context mixes its own
 estimate with those of its longer contexts, by the weights that the training
-counts give. Contexts that come often are nodes; the rarer ones below a node
-share one leaf. The weights are fixed after training, so the code length of a
-byte after a node is a number in a table, and a text's is a sum.
+counts give. Every context of the training texts is a node. The weights are fixed
+after training, so the code length of a byte after a context is a number in a
+table, and a text's is a sum.
+
+The tree is a table of runs (a context and the byte after it). It is dealt by the
+last ROOT bytes of the contexts: all below such a context is worked out in one
+task, what is above it at the driver. Texts look up the most frequent runs in the
+tasks; the other runs, and those that training lacks, are joined.
 
 Texts are words of lower-case letters A-Z joined by spaces, with a newline at
 the end: the code length covers the same tokens as the word counts beside it."""
@@ -24,7 +29,10 @@ from skyfuse.llm.common import materialize, ship, table, text_slices
 from skyfuse.llm.rolling import Words, normal
 
 DEPTH = 6
-NODES = 65536  # contexts of all lengths, the most frequent; the model has up to 256 numbers for each
+NODES = 65536  # of the bounded tree that grow() makes: contexts of all lengths, the most frequent
+ROOT = 3
+CHUNK = 1 << 17  # runs worked out at once, or those of one context of ROOT bytes if more
+RUNS = 1 << 21  # most frequent runs whose code lengths are broadcast; the others' are joined
 FREQUENT = 1 << 20  # most frequent words whose counts are broadcast; the others' are joined
 WORDS, GRAMS = 0, 1
 SLICE = 3 << 19  # bytes of text in work at once
@@ -91,6 +99,16 @@ def separate(buf: np.ndarray, code: np.ndarray, depth: int) -> np.ndarray:
     return code
 
 
+def symbols(known: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each byte's symbol, and log10 of the share that it has of its symbol."""
+    symbol = np.zeros(256, np.int64)
+    symbol[known] = np.arange(len(known))
+    others = np.setdiff1d(np.arange(256), known)
+    symbol[others] = len(known) + np.arange(len(others)) % max(1, width - len(known))
+    with np.errstate(divide="ignore"):
+        return symbol, -np.log10(np.bincount(symbol, minlength=width))[symbol]
+
+
 class Tree:
     """Nodes by depth: sorted contexts (the newest byte lowest) and counts of what
     follows. Symbols are the bytes met in training, in order; the other bytes are
@@ -99,11 +117,7 @@ class Tree:
     def __init__(self, depth: int, contexts: list[np.ndarray], counts: list[np.ndarray], known: np.ndarray):
         self.depth, self.contexts = depth, contexts
         width = counts[0].shape[1]
-        self.symbol = np.zeros(256, np.int64)
-        self.symbol[known] = np.arange(len(known))
-        others = np.setdiff1d(np.arange(256), known)
-        self.symbol[others] = len(known) + np.arange(len(others)) % max(1, width - len(known))
-        self.share = -np.log10(np.bincount(self.symbol, minlength=width))[self.symbol]
+        self.symbol, self.share = symbols(known, width)
         self.first = np.concatenate([[0], np.cumsum([len(c) for c in contexts])])
         n = int(self.first[-1])
         parents = [np.zeros(0, np.int64)]
@@ -154,6 +168,10 @@ class Tree:
                 self.logs[self.first[d] + s : self.first[d] + s + len(own)] = symbol_logs(np.clip(last, 1e-9, 1 - 1e-9))
             mixed, open_ = now, still
 
+    def look(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The scores, and whether each is known: all are."""
+        return self.score(code), np.ones(len(code), bool)
+
     def score(self, code: np.ndarray) -> np.ndarray:
         """log10 probability of each code's lowest byte after the bytes above it."""
         byte = (code & np.uint64(255)).astype(np.int64)
@@ -257,6 +275,150 @@ def grow(grams: DataFrame, depth: int = DEPTH, nodes: int = NODES) -> Tree:
     return Tree(depth, own, counts, known)
 
 
+class Runs:
+    """Code lengths of the most frequent runs."""
+
+    def __init__(self, depth: int, key: np.ndarray, log: np.ndarray):
+        order = np.argsort(key.view(np.uint64))
+        self.depth, self.key, self.log = depth, key.view(np.uint64)[order], log[order]
+
+    def look(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each code's log10 probability, 0 where it is not held, and whether it is."""
+        if not len(self.key):
+            return np.zeros(len(code)), np.zeros(len(code), bool)
+        at = np.minimum(np.searchsorted(self.key, code), len(self.key) - 1)
+        held = self.key[at] == code
+        return np.where(held, self.log[at], 0.0), held
+
+
+class Level:
+    """What the contexts of one length say on each decision: item holds a context and,
+    in the lowest byte, the decision; a and b count the zeros and ones."""
+
+    def __init__(self, item: np.ndarray, a: np.ndarray, b: np.ndarray, below: np.ndarray | None):
+        self.item, self.a, self.b = item, a, b
+        own = log_kt(a, b)
+        self.weighted = own if below is None else math.log(0.5) + np.logaddexp(own, below)
+        self.stop = np.ones(len(item)) if below is None else np.exp(math.log(0.5) + own - self.weighted)
+
+    def up(self, bytes_: int) -> Level:
+        """The level of contexts of so many bytes, one less than here."""
+        item, self.parent = np.unique(self.item & np.uint64((1 << (8 * (bytes_ + 1))) - 1), return_inverse=True)
+        a, b, below = (np.bincount(self.parent, x, len(item)) for x in (self.a, self.b, self.weighted))
+        return Level(item, a, b, below)
+
+    def down(self, mixed: np.ndarray, open_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """From each item's parent: the mixture up to here, and the weight left for longer contexts."""
+        return mixed + open_ * self.stop * (self.b + 0.5) / (self.a + self.b + 1), open_ * (1 - self.stop)
+
+
+def _levels(key: np.ndarray, n: np.ndarray, symbol: np.ndarray, bits: int, depth: int, root: int) -> tuple[list[Level], np.ndarray, np.ndarray]:
+    """Levels depth, depth - 1, .. root over the runs; for each run (rows) and bit the
+    place of its decision in the first level, and the bit."""
+    s = symbol[(key & np.uint64(255)).astype(np.int64)][:, None]
+    k = np.arange(bits)
+    decision, bit = (1 << k) + (s >> (bits - k)), s >> (bits - k - 1) & 1
+    item, at = np.unique((key & ~np.uint64(255))[:, None] | decision.astype(np.uint64), return_inverse=True)
+    at = at.reshape(bit.shape)
+    counts = np.repeat(n, bits)
+    ones = np.bincount(at.ravel(), counts * bit.ravel(), len(item))
+    levels = [Level(item, np.bincount(at.ravel(), counts, len(item)) - ones, ones, None)]
+    for d in range(depth - 1, root - 1, -1):
+        levels.append(levels[-1].up(d))
+    return levels, at, bit
+
+
+def _by_root(batches, root: int):
+    """(key, n) of about CHUNK runs, all of a context of `root` bytes together; the runs come sorted by it."""
+    held, size = [], 0
+    for batch in batches:
+        held.append((batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()))
+        size += batch.num_rows
+        if size >= CHUNK:
+            key, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            of = key >> np.uint64(8) & np.uint64((1 << (8 * root)) - 1)
+            cut = int(np.flatnonzero(of != of[-1])[-1]) + 1 if (of != of[-1]).any() else 0
+            if cut:
+                yield key[:cut], n[:cut]
+            held, size = [(key[cut:], n[cut:])], 0  # a long run of one context is looked at again CHUNK rows later
+    if held and sum(len(k) for k, _ in held):
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
+def _raise(depth: int, root: int, symbol: np.ndarray, bits: int):
+    def run(batches):
+        for key, n in _by_root(batches, root):
+            top = _levels(key, n, symbol, bits, depth, root)[0][-1]
+            yield pa.record_batch([pa.array(top.item.view(np.int64)), pa.array(top.a.astype(np.int64)), pa.array(top.b.astype(np.int64)), pa.array(top.weighted)], ["item", "a", "b", "weighted"])
+
+    return run
+
+
+def _lower(depth: int, root: int, symbol: np.ndarray, share: np.ndarray, bits: int, held):
+    def run(batches):
+        above = held.value
+        for key, n in _by_root(batches, root):
+            levels, at, bit = _levels(key, n, symbol, bits, depth, root)
+            first = levels[-1].item
+            mixed, open_ = np.zeros(len(first)), np.ones(len(first))
+            for d, (item, m, o) in enumerate(above):  # of the longest context met in training
+                ask = first & np.uint64((1 << (8 * (d + 1))) - 1)
+                place = np.minimum(np.searchsorted(item, ask), max(len(item) - 1, 0))
+                hit = item[place] == ask if len(item) else np.zeros(len(ask), bool)
+                mixed[hit], open_[hit] = m[place[hit]], o[place[hit]]
+            for i in range(len(levels) - 1, -1, -1):
+                mixed, open_ = levels[i].down(mixed, open_)
+                if i:
+                    mixed, open_ = mixed[levels[i - 1].parent], open_[levels[i - 1].parent]
+            one = np.clip(mixed, 1e-9, 1 - 1e-9)[at]
+            log = np.log10(np.where(bit == 1, one, 1 - one)).sum(1) + share[(key & np.uint64(255)).astype(np.int64)]
+            yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(n), pa.array(log)], ["key", "n", "log"])
+
+    return run
+
+
+def code_lengths(grams: DataFrame, depth: int = DEPTH):
+    """From (key, n), the counts of runs of depth + 1 bytes in training: a function of
+    such a table, which may hold more runs with n = 0, that adds each run's log10
+    probability in the tree of all contexts. The driver gets a number for each
+    decision met after a context of ROOT bytes."""
+    spark = grams.sparkSession
+    known = np.sort(_numbers(grams.select(F.col("key").bitwiseAND(F.lit(255)).alias("key")).distinct(), "key")[0])
+    width = width_for(len(known))
+    bits, root = width.bit_length() - 1, min(ROOT, depth)
+    symbol, share = symbols(known, width)
+
+    def dealt(runs):
+        of = F.shiftrightunsigned("key", 8).bitwiseAND(F.lit((1 << (8 * root)) - 1))
+        return runs.select("key", "n", of.alias("of")).repartition("of").sortWithinPartitions("of").select("key", "n")
+
+    item, a, b, weighted = _numbers(dealt(grams).mapInArrow(_raise(depth, root, symbol, bits), "item long, a long, b long, weighted double"), "item", "a", "b", "weighted")
+    order = np.argsort(item.view(np.uint64))
+    top = Level(item.view(np.uint64)[order], a[order], b[order], None)
+    top.weighted = weighted[order]
+    levels = [top]
+    for d in range(root - 1, -1, -1):
+        levels.append(levels[-1].up(d))
+    above, mixed, open_ = [], np.zeros(len(levels[-1].item)), np.ones(len(levels[-1].item))
+    for i in range(root, 0, -1):
+        mixed, open_ = levels[i].down(mixed, open_)
+        above.append((levels[i].item, mixed, open_))
+        mixed, open_ = mixed[levels[i - 1].parent], open_[levels[i - 1].parent]
+    held = spark.sparkContext.broadcast(above)
+    return lambda runs: dealt(runs).mapInArrow(_lower(depth, root, symbol, share, bits, held), "key long, n long, log double")
+
+
+def _most_frequent(counted: DataFrame, room: int) -> tuple[list[tuple[int, int]], int]:
+    """How many keys come n times, for each n, highest first; and the least n at which no more than `room` keys come as often."""
+    by_count = sorted(((r["n"], r["keys"]) for r in counted.groupBy("n").agg(F.count("*").alias("keys")).collect()), reverse=True)
+    least = by_count[0][0] + 1 if by_count else 1
+    for n, w in by_count:
+        if w > room:
+            break
+        least, room = n, room - w
+    return by_count, least
+
+
 def _apply(held_tree, held_words):
     def run(batches):
         tree, (frequent, logs) = held_tree.value, held_words.value
@@ -264,8 +426,11 @@ def _apply(held_tree, held_words):
         for part, raw in text_slices(batches, most=SLICE):
             words = Words([normal(x, lower=True) for x in raw])
             code, back = np.unique(separate(words.buf, codes(words.buf, tree.depth), tree.depth), return_inverse=True)
-            sums = np.concatenate([[0.0], np.cumsum(tree.score(code)[back])])
+            log, held = tree.look(code)
+            sums = np.concatenate([[0.0], np.cumsum(log[back])])
             ends = np.flatnonzero(words.buf == 10) + 1
+            asked = np.flatnonzero(~held[back])
+            runs = np.concatenate([[0], np.searchsorted(asked, ends)]).astype(np.int32)
             score = np.diff(np.concatenate([[0.0], sums[ends]]))
             h = words.hashes()[1]
             at = np.minimum(np.searchsorted(frequent, h), max(len(frequent) - 1, 0))
@@ -275,8 +440,8 @@ def _apply(held_tree, held_words):
             rare = ~known
             offsets = np.concatenate([[0], np.cumsum(np.bincount(words.doc[rare], minlength=n))]).astype(np.int32)
             yield pa.record_batch(
-                [part.column(part.schema.get_field_index("doc_id")), pa.array(rng.integers(0, 1 << 62, n)), pa.array(words.counts() + 1), pa.array(np.bincount(words.doc[known], minlength=n)), pa.array(base), pa.array(score), pa.ListArray.from_arrays(pa.array(offsets), pa.array(h[rare].view(np.int64)))],
-                ["doc_id", "row", "n_tokens", "n_known", "base", "score", "rare"],
+                [part.column(part.schema.get_field_index("doc_id")), pa.array(rng.integers(0, 1 << 62, n)), pa.array(words.counts() + 1), pa.array(np.bincount(words.doc[known], minlength=n)), pa.array(base), pa.array(score), pa.ListArray.from_arrays(pa.array(offsets), pa.array(h[rare].view(np.int64))), pa.ListArray.from_arrays(pa.array(runs), pa.array(code[back[asked]].view(np.int64)))],
+                ["doc_id", "row", "n_tokens", "n_known", "base", "score", "rare", "runs"],
             )
 
     return run
@@ -286,10 +451,11 @@ def in_fold(doc_id: str = "doc_id", folds: int = 5, fold: int = 1):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % folds == fold, F.lit(False))
 
 
-def score_texts(docs: DataFrame, training: DataFrame, depth: int = DEPTH, nodes: int = NODES) -> DataFrame:
+def score_texts(docs: DataFrame, training: DataFrame, depth: int = DEPTH, nodes: int | None = None) -> DataFrame:
     """Per row of docs: doc_id, n_tokens, n_known, train_tokens, base_score (words
     by their smoothed counts) and score (the tree's log10 probability of the text).
-    Words and bytes are counted over all rows of training.
+    Words and bytes are counted over all rows of training. With `nodes`, the tree
+    is cut to so many contexts, the most frequent; else it holds all.
 
     Null texts count as empty: they hold one token, the end. Repeated rows score
     alike; columns but doc_id and text are left out; without training rows every
@@ -298,36 +464,46 @@ def score_texts(docs: DataFrame, training: DataFrame, depth: int = DEPTH, nodes:
     ship(spark)
     text = F.col("text").cast("string").alias("text")
     ends = training.count()
-    found = training.select(text).mapInArrow(_counts(depth), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    found = training.select(text).mapInArrow(_counts(depth), "kind int, key long, n long")
+    # each task's counts are sums already: dealt first, they are not summed a second time there
+    found = found.repartition("kind", "key").groupBy("kind", "key").agg(F.sum("n").alias("n"))
     found = materialize(found, "kind")
     vocabulary = found.where(F.col("kind") == WORDS).select("key", "n")
-    tree = grow(found.where(F.col("kind") == GRAMS).select("key", "n"), depth, nodes)
-    by_count = sorted(((r["n"], r["words"]) for r in vocabulary.groupBy("n").agg(F.count("*").alias("words")).collect()), reverse=True)
+    grams = found.where(F.col("kind") == GRAMS).select("key", "n")
+    if nodes is None:
+        lengths, often = code_lengths(grams, depth), _most_frequent(grams, RUNS)[1]
+        tree = Runs(depth, *_numbers(lengths(grams).where(F.col("n") >= often), "key", "log"))
+    else:
+        tree = grow(grams, depth, nodes)
+    by_count, least = _most_frequent(vocabulary, FREQUENT)
     tokens = sum(n * w for n, w in by_count) + ends
     words = sum(w for _, w in by_count) + bool(ends)
-    least, room = by_count[0][0] + 1 if by_count else 1, FREQUENT
-    for n, w in by_count:
-        if w > room:
-            break
-        least, room = n, room - w
     key, n = _numbers(vocabulary.where(F.col("n") >= least), "key", "n")
     order = np.argsort(key.view(np.uint64))
     frequent = key.view(np.uint64)[order], np.log10(n[order] + 0.5)
     sc = spark.sparkContext
     held = sc.broadcast(tree), sc.broadcast(frequent)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = materialize(docs.select("doc_id", text).mapInArrow(_apply(*held), f"doc_id {kind}, row long, n_tokens long, n_known long, base double, score double, rare array<long>"))
+    scored = materialize(docs.select("doc_id", text).mapInArrow(_apply(*held), f"doc_id {kind}, row long, n_tokens long, n_known long, base double, score double, rare array<long>, runs array<long>"))
     rare = scored.select("row", F.explode("rare").alias("key"))
     seldom = vocabulary.where(F.col("n") < least).withColumnRenamed("key", "of")
     met = rare.join(seldom, F.col("key") == F.col("of"))
     # a word that training lacks counts 0 and adds the same for all: only the words met are sent back
     more = met.groupBy("row").agg(F.count("*").alias("met"), F.sum(F.log10(F.col("n") + 0.5)).alias("more")).withColumnRenamed("row", "to")
-    out = scored.join(more, F.col("row") == F.col("to"), "left")
+    out = scored.drop("runs").join(more, F.col("row") == F.col("to"), "left")
+    score = F.col("score")
+    if nodes is None:
+        asked = scored.select("row", F.explode("runs").alias("key"))
+        every = grams.union(asked.select("key", F.lit(0).cast("long"))).groupBy("key").agg(F.sum("n").alias("n"))
+        told = lengths(every).where(F.col("n") < often).select(F.col("key").alias("of"), "log")
+        of_row = asked.join(told, F.col("key") == F.col("of")).groupBy(F.col("row").alias("by")).agg(F.sum("log").alias("joined"))
+        out = out.join(of_row, F.col("row") == F.col("by"), "left")
+        score = score + F.coalesce("joined", F.lit(0.0))
     met_here = F.coalesce("met", F.lit(0))
     unseen = F.size("rare") - met_here
     end = math.log10(ends + 0.5)
     base = F.col("base") + F.coalesce("more", F.lit(0.0)) + unseen * math.log10(0.5) + end - F.col("n_tokens") * math.log10(tokens + 0.5 * (words + 1))
-    return out.select("doc_id", "n_tokens", (F.col("n_known") + met_here + F.lit(int(bool(ends)))).cast("long").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    return out.select("doc_id", "n_tokens", (F.col("n_known") + met_here + F.lit(int(bool(ends)))).cast("long").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), score.alias("score"))
 
 
 def op1_ctw(spark, sf_dir):

@@ -270,6 +270,28 @@ def test_tree_scores_by_definition(spark):
             assert got[i] == pytest.approx(direct_score(train, normal(t.encode(), True), depth, nodes), abs=1e-4), (depth, t)
 
 
+@pytest.mark.parametrize("runs", [1 << 21, 4, 0])
+def test_every_context_is_a_node(spark, monkeypatch, runs):
+    monkeypatch.setattr(ctw, "RUNS", runs)
+    monkeypatch.setattr(ctw, "CHUNK", 5)
+    train = [b"abab abba", b"", b"aab abab", b"ba", b"abab abba cab"]
+    df = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(train)], "doc_id long, text string")
+    tests = ["abab", "", "b", "zz ab", "ABBA  abab", "cab zzz cab"]
+    ask = spark.createDataFrame([(i, t) for i, t in enumerate(tests)], "doc_id long, text string")
+    for depth in (1, 5):
+        got = {r["doc_id"]: r["score"] for r in ctw.score_texts(ask, df, depth).collect()}
+        for i, t in enumerate(tests):
+            assert got[i] == pytest.approx(direct_score(train, normal(t.encode(), True), depth, 1 << 30), abs=1e-4), (depth, t)
+
+
+def test_no_context_is_cut_from_a_large_tree(spark):
+    rng = np.random.default_rng(2)
+    texts = [" ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 7)) for _ in range(500)) for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")  # about 100,000 contexts
+    got, whole = ({r["doc_id"]: r["score"] for r in ctw.score_texts(df, df, 6, *n).collect()} for n in ((), (1 << 30,)))
+    assert got == pytest.approx(whole, abs=0.05)
+
+
 def test_tree_is_a_distribution(spark):
     df = spark.createDataFrame([(1, "the thing there")], "doc_id long, text string")
     grams = df.mapInArrow(ctw._counts(2), "kind int, key long, n long").where("kind = 1").select("key", "n")
