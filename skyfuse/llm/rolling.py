@@ -7,9 +7,12 @@ so has an inverse. A last mixing step spreads the low bits."""
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+LONG_WORD = 32  # bytes
 _B = 0x9E3779B97F4A7C15
 _B_INV = pow(_B, -1, 1 << 64)
 _powers: list[np.ndarray] = []
@@ -26,6 +29,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of two hashes in this order, not linear in either."""
+    x = a * np.uint64(0xA24BAED4963EE407) + (b << np.uint64(23) | b >> np.uint64(41)) * np.uint64(0x9FB21C651E98DF25)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xD1342543DE82EF95)
+    x ^= x >> np.uint64(32)
+    return x
+
+
 _VALUE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_B))
 
 
@@ -72,3 +84,25 @@ class Words:
         s, e, sums = self.start[first], self.end[first + window - 1], self.prefix()
         h = (sums[e] - sums[s]) * _grown(len(self.buf) + 1)[1][s]
         return first, mix(h ^ ((e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+
+    def apart(self) -> np.ndarray:
+        """A hash of each word. Those modulo 2**64 are alike for some long words that are not: these have a digest."""
+        h = self.hashes()[1]
+        buf = None
+        for i in np.flatnonzero(self.end - self.start > LONG_WORD).tolist():
+            buf = buf or self.buf.tobytes()
+            h[i] = int.from_bytes(hashlib.blake2b(buf[self.start[i] : self.end[i]], digest_size=8).digest(), "little")
+        return h
+
+    def windows(self, window: int) -> tuple[np.ndarray, np.ndarray]:
+        """Two hashes, 128 bits together, of each run of `window` words in one text: the
+        rolling one, mixed with one that joins the words' own hashes pair by pair."""
+        first, rolled = self.hashes(window)
+        level, held, size = self.apart(), None, 1
+        while size <= window:  # level: of runs of `size` words, from each word on
+            if window & size:  # runs of the smaller sizes come after those of the larger
+                held = level if held is None else _joined(level[: len(held[size:])], held[size:]) if len(held) > size else level[:0]
+            level = _joined(level[:-size], level[size:]) if len(level) > size else level[:0]
+            size *= 2
+        own = held[first] if len(first) else np.zeros(0, np.uint64)
+        return mix(rolled ^ mix(own)), mix(rolled * np.uint64(0x9FB21C651E98DF25) + own)
