@@ -5,9 +5,10 @@ ascending order of the keys each source is a weighted sample without
 replacement. A source whose target is e + f times its size gives e complete
 epochs, then the documents whose prefix sum of words stays within f of it.
 
-Prefix sums need no source in one task: keys fall into a fixed number of
-buckets, bucket totals are summed per source, and only the one bucket that the
-budget ends in is sorted row by row. DataFrame operations throughout."""
+Prefix sums need no source in one task: keys fall into buckets, bucket totals are
+summed per source, and the bucket that the budget ends in is parted again until it
+is small; only that one is sorted, equal places as one. DataFrame operations
+throughout."""
 
 from __future__ import annotations
 
@@ -21,6 +22,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 BUDGET, MOST = 1.5, 2.0
 BUCKETS = 4096
+SORTED = 1 << 20  # rows of a source that are sorted at most, but for rows of equal keys
 
 
 def size_of(text: Column) -> Column:
@@ -35,14 +37,15 @@ def quality(text: Column, size: Column) -> Column:
 
 
 def _keyed(docs: DataFrame, weight: Column | None) -> DataFrame:
-    """docs with __size, __key and __bucket."""
-    sized = docs.withColumn("__size", size_of(F.col("text")))
+    """docs with __mix_size and __mix_key."""
+    sized = docs.withColumn("__mix_size", size_of(F.col("text")))
     digits = F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":mix"))), 1, 13)
     u = (F.conv(digits, 16, 10).cast("long").cast("double") + 0.5) / F.lit(2.0**52)
-    key = -F.log(u) / (quality(F.col("text"), F.col("__size")) if weight is None else weight)
-    keyed = sized.withColumn("__key", key)
-    at = F.floor((F.lit(1.0) - F.exp(-F.col("__key"))) * BUCKETS).cast("int")
-    return keyed.withColumn("__bucket", F.least(at, F.lit(BUCKETS - 1)))
+    return sized.withColumn("__mix_key", -F.log(u) / (quality(F.col("text"), F.col("__mix_size")) if weight is None else weight))
+
+
+def _narrow(keyed: DataFrame) -> DataFrame:
+    return materialize(keyed.select(F.col("doc_id").alias("id"), "source", F.col("__mix_size").alias("size"), F.col("__mix_key").alias("key")))
 
 
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, budget: float = BUDGET, most: float = MOST) -> DataFrame:
@@ -64,54 +67,89 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, budget: float = BUDGET,
     return level.select("source", "source_size", target.alias("target"))
 
 
-def _thresholds(keyed: DataFrame, weights, budget, most) -> DataFrame:
-    """A row per source: its size, target, epochs, and where its last epoch ends."""
-    sizes = keyed.groupBy("source").agg(F.sum("__size").alias("source_size"))
+def _thresholds(narrow: DataFrame, weights, budget, most) -> DataFrame:
+    """A row per source: __mix_source, source_size, target, __mix_epochs, and where the
+    part taken once more ends: before or at the place __mix_cut (key, id, size), of
+    whose __mix_copies equal rows __mix_room are taken."""
+    sizes = narrow.groupBy("source").agg(F.sum("size").alias("source_size"))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.greatest("source_size", F.lit(1)))).otherwise(0).cast("long")
-    goal = materialize(targets(sizes, weights, budget, most).withColumn("epochs", whole).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")))
-    sums = keyed.groupBy("source", "__bucket").agg(F.sum("__size").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("source").orderBy("__bucket"))
-    ends = sums.withColumn("upto", upto).withColumnRenamed("source", "__source")
-    last = ends.join(goal, ends["__source"].eqNullSafe(goal["source"])).where(F.col("upto") > F.col("rest"))
-    last = last.groupBy("source").agg(F.min(F.struct("__bucket", (F.col("upto") - F.col("n")).alias("offset"), "rest")).alias("x"))
-    last = materialize(last.select(F.col("source").alias("__source"), F.col("x.__bucket").alias("__last"), "x.offset", "x.rest"))
-    inside = keyed.join(last, keyed["source"].eqNullSafe(last["__source"]) & (keyed["__bucket"] == last["__last"]))
-    place = F.struct(F.col("__key").alias("key"), F.col("doc_id").alias("id"), F.col("__size").alias("size"))
-    run = F.sum("__size").over(Window.partitionBy("__source").orderBy("__key", "doc_id", "__size").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    taken = inside.select("__source", "__last", "offset", "rest", "__size", place.alias("place"), run.alias("run"))
-    taken = taken.where(F.col("offset") + F.col("run") - F.col("__size") / 2.0 <= F.col("rest"))
-    cut = taken.groupBy("__source").agg(F.max("place").alias("cut"))
-    cut = last.join(cut.withColumnRenamed("__source", "__of"), last["__source"].eqNullSafe(F.col("__of")), "left").select(F.col("__source").alias("__at"), "__last", "cut")
-    return materialize(goal.join(cut, goal["source"].eqNullSafe(cut["__at"]), "left").select(F.col("source").alias("__source"), "source_size", "target", "epochs", "rest", "__last", "cut"))
+    goal = targets(sizes, weights, budget, most).withColumn("epochs", whole).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
+    goal = materialize(goal.withColumnRenamed("source", "of"))
+    inside = narrow.join(goal.select("of", "rest").where("rest > 0"), F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("offset", F.lit(0).cast("long"))
+    bucket = F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * BUCKETS)
+    while True:
+        # of each source the first bucket that the budget does not cover, else its last
+        sums = inside.withColumn("bucket", F.least(bucket, F.lit(BUCKETS - 1))).groupBy("source", "rest", "offset", "bucket")
+        sums = sums.agg(F.sum("size").alias("n"), F.count("*").alias("rows"), F.min("key").alias("low"), F.max("key").alias("high"))
+        by_key = Window.partitionBy("source").orderBy("bucket")
+        sums = sums.withColumn("upto", F.col("offset") + F.sum("n").over(by_key)).withColumn("last", F.lead("bucket").over(by_key).isNull())
+        ends = sums.where((F.col("upto") > F.col("rest")) | F.col("last")).groupBy("source", "rest")
+        ends = ends.agg(F.min(F.struct("bucket", (F.col("upto") - F.col("n")).alias("offset"), "rows", "low", "high")).alias("x"))
+        ends = materialize(ends.select(F.col("source").alias("of"), "rest", "x.offset", "x.rows", "x.low", "x.high"))
+        held = F.col("source").eqNullSafe(F.col("of")) & F.col("key").between(F.col("low"), F.col("high"))
+        inside = narrow.join(ends, held).select("id", "source", "size", "key", "rest", "offset", "low", "high")
+        if not ends.where((F.col("rows") > SORTED) & (F.col("low") < F.col("high"))).head(1):
+            break
+        bucket = F.when(F.col("low") < F.col("high"), F.floor((F.col("key") - F.col("low")) / (F.col("high") - F.col("low")) * BUCKETS)).otherwise(0).cast("long")
+    places = inside.groupBy("source", "rest", "offset", "key", "id", "size").agg(F.count("*").alias("copies"))
+    before = F.col("offset") + F.coalesce(F.sum(F.col("size") * F.col("copies")).over(Window.partitionBy("source").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    places = places.withColumn("before", before)
+    fits = lambda j: F.col("before") + j * F.col("size") - F.col("size") / 2.0 <= F.col("rest")
+    about = F.floor((F.col("rest") - F.col("before")) / F.greatest("size", F.lit(1)) + 0.5)
+    room = F.when(F.col("size") == 0, F.when(fits(F.lit(1)), F.col("copies")).otherwise(0)).otherwise(F.when(fits(about + 1), about + 1).when(fits(about), about).otherwise(about - 1))
+    places = places.withColumn("room", F.least(F.greatest(room, F.lit(0)), F.col("copies"))).where("room > 0")
+    cut = places.groupBy("source").agg(F.max(F.struct(F.struct("key", "id", "size").alias("place"), "room", "copies")).alias("x"))
+    # where even the first place of the last bucket does not fit, all before that bucket is taken
+    cut = ends.select(F.col("of").alias("to"), "low").join(cut, F.col("to").eqNullSafe(F.col("source")), "left").select("to", "low", "x")
+    joined = goal.join(cut, F.col("of").eqNullSafe(F.col("to")), "left")
+    return materialize(joined.select(F.col("of").alias("__mix_source"), "source_size", "target", F.col("epochs").alias("__mix_epochs"), F.col("low").alias("__mix_low"), F.col("x.place").alias("__mix_cut"), F.col("x.room").alias("__mix_room"), F.col("x.copies").alias("__mix_copies")))
 
 
 def _taken(keyed: DataFrame, limits: DataFrame) -> DataFrame:
-    """keyed with source_size, target and copies."""
-    place = F.struct(F.col("__key").alias("key"), F.col("doc_id").alias("id"), F.col("__size").alias("size"))
-    first = F.coalesce(F.col("__bucket") < F.col("__last"), F.lit(False)) | (F.coalesce(F.col("__bucket") == F.col("__last"), F.lit(False)) & F.coalesce(place <= F.col("cut"), F.lit(False)))
-    copies = F.col("epochs") + F.when((F.col("rest") > 0) & first, 1).otherwise(0)
-    return keyed.join(limits, keyed["source"].eqNullSafe(limits["__source"])).withColumn("copies", copies)
+    """keyed with limits' columns and __mix_taken, how often each row is taken."""
+    named = limits.select(*[F.col(c).alias(c if c.startswith("__mix_") else f"__mix_{c}") for c in limits.columns])
+    place = F.struct(F.col("__mix_key").alias("key"), F.col("doc_id").alias("id"), F.col("__mix_size").alias("size"))
+    cut = F.col("__mix_cut")
+    joined = keyed.join(named, F.col("source").eqNullSafe(F.col("__mix_source")))
+    first = F.when(F.col("__mix_low").isNull(), False).when(cut.isNull(), F.col("__mix_key") < F.col("__mix_low")).otherwise(place <= cut)
+    if not limits.where("__mix_room < __mix_copies").head(1):
+        return joined.withColumn("__mix_taken", F.col("__mix_epochs") + first.cast("int"))
+    # the budget ends between equal rows: these, of one place a source, are numbered in shares of bounded size
+    edge = F.coalesce((F.col("__mix_room") < F.col("__mix_copies")) & place.eqNullSafe(cut), F.lit(False))
+    rest = joined.where(~edge).withColumn("__mix_taken", F.col("__mix_epochs") + first.cast("int"))
+    share = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(BUCKETS)).cast("int")
+    equal = materialize(joined.where(edge).withColumn("__mix_share", share).withColumn("__mix_row", F.monotonically_increasing_id()))
+    counts = equal.groupBy("__mix_source", "__mix_share").count()
+    counts = counts.withColumn("__mix_before", F.sum("count").over(Window.partitionBy("__mix_source").orderBy("__mix_share")) - F.col("count"))
+    counts = counts.select(F.col("__mix_source").alias("__mix_of"), F.col("__mix_share").alias("__mix_in"), "__mix_before")
+    number = F.col("__mix_before") + F.row_number().over(Window.partitionBy("__mix_source", "__mix_share").orderBy("__mix_row"))
+    numbered = equal.join(counts, F.col("__mix_source").eqNullSafe(F.col("__mix_of")) & (F.col("__mix_share") == F.col("__mix_in")))
+    numbered = numbered.withColumn("__mix_taken", F.col("__mix_epochs") + (number <= F.col("__mix_room")).cast("int"))
+    return rest.union(numbered.select(*rest.columns))
 
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, budget: float = BUDGET, most: float = MOST, weight: Column | None = None) -> DataFrame:
     """docs with a column copies: how often the mix takes each document (0 to `most`).
 
-    docs needs doc_id, text and source; further columns stay. weight: quality of a
-    document, over 0; by default from its words' number and length. Null texts have
-    no words; null is a source of its own, the last; equal keys go by doc_id and
-    size, so repeated rows are drawn apart; the choice depends on doc_id alone and
-    so does not change between runs; an empty table gives an empty one."""
-    keyed = _keyed(docs, weight)
-    narrow = materialize(keyed.select("doc_id", "source", "__size", "__key", "__bucket"))
-    limits = _thresholds(narrow, weights, budget, most)
-    return _taken(keyed, limits).select(*docs.columns, "copies")
+    docs needs doc_id, text and source; further columns stay, but one named copies
+    gives way, and names that begin with __mix_ are reserved. weight: quality of a
+    document, over 0; by default from its words' number and length. Null texts have no
+    words; null is a source of its own, the last; equal keys go by doc_id and size,
+    and of equal rows as many are taken as the budget has room for. The choice depends
+    on doc_id, text and source alone and so does not change between runs; an empty
+    table gives an empty one. Very long texts cost one pass each: only their sizes
+    and keys are shuffled."""
+    keyed = _keyed(docs.drop("copies"), weight)
+    own = [F.col(c) for c in docs.columns if c != "copies"]
+    return _taken(keyed, _thresholds(_narrow(keyed), weights, budget, most)).select(*own, F.col("__mix_taken").alias("copies"))
 
 
 def mix_plan(docs: DataFrame, weights: tuple = WEIGHTS, budget: float = BUDGET, most: float = MOST, weight: Column | None = None) -> DataFrame:
     """The same choice without the texts: doc_id, source, size, source_size, target, copies."""
-    narrow = materialize(_keyed(docs, weight).select("doc_id", "source", "__size", "__key", "__bucket"))
-    out = _taken(narrow, _thresholds(narrow, weights, budget, most))
-    return out.select("doc_id", "source", F.col("__size").alias("size"), "source_size", "target", "copies")
+    narrow = _narrow(_keyed(docs, weight))
+    again = narrow.select(F.col("id").alias("doc_id"), "source", F.col("size").alias("__mix_size"), F.col("key").alias("__mix_key"))
+    out = _taken(again, _thresholds(narrow, weights, budget, most))
+    return out.select("doc_id", "source", F.col("__mix_size").alias("size"), F.col("__mix_source_size").alias("source_size"), F.col("__mix_target").alias("target"), F.col("__mix_taken").alias("copies"))
 
 
 def op5_mixing(spark, sf_dir):
