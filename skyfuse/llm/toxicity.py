@@ -21,9 +21,8 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from skyfuse.llm.common import materialize, ship, table, text_slices
 
 LABELLED_ROWS = 20_000  # about so many labelled rows at most are learned from, chosen by their ids' hash
-TERMS = 400
 PREFIXES = range(3, 10)
-EDIT_FROM = 5  # shorter terms are matched exactly
+EDIT_FROM = {True: 4, False: 5}  # letters from which whole words, and beginnings of words, may have an edit
 WINDOW = 8
 MEMO = 300_000
 QUOTES = "\"'“”„‘’«»‹›`"
@@ -52,9 +51,10 @@ def _candidates(batches):
             yield pa.record_batch([pa.array(list(c), pa.string()), pa.array([label] * len(c), pa.int32()), pa.array(list(c.values()), pa.int64())], ["term", "label", "n"])
 
 
-def choose_terms(counts: dict[str, tuple[int, int]], toxic: int, clean: int, most: int = TERMS) -> list[str]:
+def choose_terms(counts: dict[str, tuple[int, int]], toxic: int, clean: int) -> list[str]:
     """counts: term -> documents that hold it, toxic and clean. Of a beginning and
-    the terms that go on from it, the beginning is kept if it tells clearly more."""
+    the terms that go on from it, the beginning is kept if it tells clearly more.
+    Every term that tells enough is kept, most telling first."""
 
     def telling(t):
         a, b = counts[t]
@@ -71,7 +71,7 @@ def choose_terms(counts: dict[str, tuple[int, int]], toxic: int, clean: int, mos
     for t in sorted(own, key=lambda t: (len(t), t)):
         if not any(t.startswith(k) for k in kept):
             kept.append(t)
-    return sorted(kept, key=lambda t: (-value[t], t))[:most]
+    return sorted(kept, key=lambda t: (-value[t], t))
 
 
 class Matcher(dict):
@@ -93,7 +93,7 @@ class Matcher(dict):
                     self.nodes.append({})
                 path.append(at)
             (self.whole if term.endswith(" ") else self.begins).setdefault(at, k)
-            if len(word) >= EDIT_FROM:
+            if len(word) >= EDIT_FROM[term.endswith(" ")]:
                 self.long.update(path)
         self.states: dict[frozenset, int] = {frozenset(): 0}
         self.sets: list[frozenset] = [frozenset()]
@@ -148,15 +148,16 @@ class Matcher(dict):
         return found
 
 
-def hits_of(text: str, matcher: Matcher) -> tuple[int, list[tuple[int, int, int, int]]]:
-    """Number of words, and (place, term, edits, quoted) of each hit."""
+def hits_of(text: str, matcher: Matcher, telling=None) -> tuple[int, list[tuple[int, int, int, int]]]:
+    """Number of words, and (place, term, edits, quoted) of each hit; with telling
+    (by term and edits), of those hits alone that tell something."""
     words = text.lower().split()
     found = list(map(matcher.__getitem__, words))
     if not any(found):
         return len(words), []
     out = []
     for i, hit in enumerate(found):
-        if hit:
+        if hit and (telling is None or telling[hit[0]][hit[1]]):
             w = words[i]
             near = words[max(0, i - WINDOW) : i + WINDOW + 1]
             marked = w[0] in QUOTES and w.rstrip(".,;:!?")[-1:] in QUOTES
@@ -166,14 +167,26 @@ def hits_of(text: str, matcher: Matcher) -> tuple[int, list[tuple[int, int, int,
     return len(words), out
 
 
-def features(n: int, hits: list, weight: np.ndarray) -> list[float]:
-    """weight[term][edits]: log ratio of the rates in toxic and clean texts."""
+def densest(places: list[int], reach: int = WINDOW) -> int:
+    """The most of the ascending places within `reach` of any one of them."""
+    best = first = last = 0
+    for p in places:
+        while places[first] < p - reach:
+            first += 1
+        while last < len(places) and places[last] <= p + reach:
+            last += 1
+        best = max(best, last - first)
+    return best
+
+
+def features(n: int, hits: list, weight: list) -> list[float]:
+    """weight[term][edits]: log ratio of the rates in toxic and clean texts. Hits of weight 0 don't count."""
+    hits = [h for h in hits if weight[h[1]][h[2]] > 0]
     if not hits:
         return [0.0] * 9 + [math.log1p(n), 0.0, 0.0]
     w = [weight[t][e] for _, t, e, _ in hits]
     own = [x for x, h in zip(w, hits, strict=True) if not h[3]]
-    places = [h[0] for h, x in zip(hits, w, strict=True) if x > 1]
-    dense = max((sum(abs(p - q) <= WINDOW for q in places) for p in places[:200]), default=0)
+    dense = densest([h[0] for h, x in zip(hits, w, strict=True) if x > 1])
     strong = sum(x > 1 for x in w)
     return [
         1.0,
@@ -205,20 +218,39 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.n
     return w, mean, sd
 
 
-def _hits(terms: list[str]):
+def _seen(terms: list[str]):
+    """Per label, how often each term is hit with 0 and 1 edits; under term -1, words."""
+
     def run(batches):
-        matcher = Matcher(terms)
+        matcher, counts = Matcher(terms), Counter()
+        for part, raw in text_slices(batches, most=4 << 20):
+            for x, label in zip(raw, part.column(part.schema.get_field_index("label")).to_pylist(), strict=True):
+                words = x.decode().lower().split()
+                counts[label, -1, 0] += len(words)
+                counts.update((label, *hit) for hit in map(matcher.__getitem__, words) if hit)
+        label, term, edits = (pa.array([k[i] for k in counts], pa.int32()) for i in range(3))
+        yield pa.record_batch([label, term, edits, pa.array(list(counts.values()), pa.int64())], ["label", "term", "edits", "n"])
+
+    return run
+
+
+def _described(held):
+    """(label, features) of each text."""
+
+    def run(batches):
+        m = held.value
+        matcher, weight = Matcher(m["terms"]), m["weight"].tolist()
         for part, raw in text_slices(batches, most=4 << 20):
-            got = [hits_of(x.decode(), matcher) for x in raw]
-            yield pa.record_batch([part.column(part.schema.get_field_index("label")), pa.array([n for n, _ in got], pa.int64()), pa.array([[v for h in hits for v in h] for _, hits in got], pa.list_(pa.int32()))], ["label", "n", "hits"])
+            yield pa.record_batch([part.column(part.schema.get_field_index("label")), pa.array([features(*hits_of(x.decode(), matcher, weight), weight) for x in raw], pa.list_(pa.float64()))], ["label", "x"])
 
     return run
 
 
 def learn(labelled: DataFrame, most: int = LABELLED_ROWS) -> dict:
     """A model from (text, label) rows with labels 0 and 1. Of more than `most`
-    rows a share is taken by the texts' hash. The driver gets candidate terms that
-    five toxic documents hold, and the hits in the sample."""
+    rows a share is taken by the texts' hash; what is learned grows with that sample,
+    not with the table. The driver gets candidate terms that enough toxic documents
+    hold, counts by term and a dozen numbers a row of the sample."""
     ship(labelled.sparkSession)
     # one pass over the documents; what is kept of them is the bounded sample
     sample = materialize(labelled.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("label").cast("int").alias("label")))
@@ -235,19 +267,21 @@ def learn(labelled: DataFrame, most: int = LABELLED_ROWS) -> dict:
     few = max(3, toxic // 500)
     told = counts.where((F.col("a") >= few) & (F.col("a") * clean > F.col("b") * 3 * toxic))
     terms = choose_terms({r["term"]: (r["a"], r["b"]) for r in told.collect()}, toxic, clean)
-    got = sample.repartition(16).mapInArrow(_hits(terms), "label int, n long, hits array<int>").collect()
+    dealt = sample.repartition(16)
     seen, words = np.zeros((2, max(len(terms), 1), 2)), np.zeros(2)
-    parsed = []
-    for r in got:
-        hits = [tuple(r["hits"][i : i + 4]) for i in range(0, len(r["hits"]), 4)]
-        parsed.append((r["label"], r["n"], hits))
-        words[r["label"]] += r["n"]
-        for t, e in {(h[1], h[2]) for h in hits}:
-            seen[r["label"], t, e] += sum(h[1] == t and h[2] == e for h in hits)
+    for r in dealt.mapInArrow(_seen(terms), "label int, term int, edits int, n long").groupBy("label", "term", "edits").agg(F.sum("n").alias("n")).collect():
+        if r["term"] < 0:
+            words[r["label"]] = r["n"]
+        else:
+            seen[r["label"], r["term"], r["edits"]] = r["n"]
     model["terms"] = terms
     model["weight"] = np.maximum(0, np.log((seen[1] + 0.5) / (words[1] + 1)) - np.log((seen[0] + 0.5) / (words[0] + 1)))
-    x = np.array([features(n, hits, model["weight"]) for _, n, hits in parsed])
-    y = np.array([label for label, _, _ in parsed], float)
+    held = labelled.sparkSession.sparkContext.broadcast({"terms": terms, "weight": model["weight"]})
+    described = dealt.mapInArrow(_described(held), "label int, x array<double>").toArrow()
+    x = described["x"].combine_chunks().flatten().to_numpy().reshape(-1, FEATURES)
+    y = described["label"].to_numpy().astype(float)
+    by_row = np.lexsort((*x.T, y))  # rows arrive in any order; sums in one order give one model
+    x, y = x[by_row], y[by_row]
     model["w"], model["mean"], model["sd"] = fit_logistic(x, y)
     return model
 
@@ -255,9 +289,9 @@ def learn(labelled: DataFrame, most: int = LABELLED_ROWS) -> dict:
 def _score(held):
     def run(batches):
         m = held.value
-        matcher = Matcher(m["terms"])
+        matcher, weight = Matcher(m["terms"]), m["weight"].tolist()
         for part, raw in text_slices(batches, most=4 << 20):
-            x = np.array([features(*hits_of(t.decode(), matcher), m["weight"]) for t in raw])
+            x = np.array([features(*hits_of(t.decode(), matcher, weight), weight) for t in raw])
             z = m["w"][0] + ((x - m["mean"]) / m["sd"]) @ m["w"][1:]
             yield pa.record_batch([*part.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], [*part.schema.names, "score"])
 
