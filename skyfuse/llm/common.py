@@ -3,6 +3,7 @@ shared folder, and iteration over Arrow batches by bounded amounts of text."""
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,7 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from skyfuse.session import ship, table
 
-__all__ = ["ship", "table", "shared_dir", "materialize", "text_slices", "parallelism"]
+__all__ = ["ship", "table", "shared_dir", "materialize", "discard", "tidy", "text_slices", "parallelism"]
+
+_written: list[str] = []  # paths of the tables that materialize() has written and nothing has removed
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,7 +37,35 @@ def materialize(df: DataFrame, *by: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/skyfuse/{uuid.uuid4().hex}.parquet"
     (df.write.partitionBy(*by) if by else df.write).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _written.append(path)
+    read = spark.read.schema(df.schema).parquet(path)
+    read._path = path
+    return read
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    if path in _written:
+        _written.remove(path)
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Remove tables that materialize() gave, when nothing lazy reads them any more. Others, and None, are left alone."""
+    for df in tables:
+        path = getattr(df, "_path", None)
+        if path:
+            _remove(df.sparkSession, path)
+
+
+@contextlib.contextmanager
+def tidy(spark: SparkSession):
+    """Remove in the end all tables written within, but for those that the function it gives is called with."""
+    before, keep = set(_written), []
+    yield keep.append
+    stay = {getattr(df, "_path", None) for df in keep}
+    for path in [x for x in _written if x not in before and x not in stay]:
+        _remove(spark, path)
 
 
 def parallelism(spark: SparkSession) -> int:
