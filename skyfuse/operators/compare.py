@@ -16,11 +16,11 @@ def both(a: DataFrame, b: DataFrame, keys: list[str], value: str = "aod") -> Dat
 
 
 def pearson(x: Column, y: Column) -> Column:
-    """Correlation over the rows that hold both; NULL where either does not vary."""
+    """Correlation over the rows that hold both; NULL where either does not vary at all
+    (least and largest tell, not a deviation that rounding may leave above 0)."""
     good = x.isNotNull() & y.isNotNull()
     a, b = F.when(good, x), F.when(good, y)
-    sa, sb = F.stddev_pop(a), F.stddev_pop(b)
-    return F.when((sa > 1e-12) & (sb > 1e-12), F.try_divide(F.covar_pop(a, b), sa * sb))
+    return F.when((F.min(a) < F.max(a)) & (F.min(b) < F.max(b)), F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)))
 
 
 def agreement(pairs: DataFrame, step: str = "t") -> DataFrame:
@@ -83,9 +83,34 @@ def same_counts(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
     return p.select(key, "a", "b", F.coalesce(F.col("a") == F.col("b"), F.lit(False)).alias("equal"))
 
 
+SORTED = 1 << 16  # values that a percentile sorts at most, but for equal ones
+
+
 def percentile(df: DataFrame, value: Column, p: float, name: str = "p") -> DataFrame:
-    """Exact, by linear interpolation."""
-    return df.agg(F.percentile(value, F.lit(p)).alias(name))
+    """Exact, by linear interpolation, NULL of no values. Histograms narrow down where the
+    value lies, so only those of one bin are sorted, equal ones as one; nothing else is gathered."""
+    rows = df.select(value.cast("double").alias("x")).where("x IS NOT NULL")
+    low, high, n = rows.agg(F.min("x"), F.max("x"), F.count("*")).head()
+    place, below = p * max(n - 1, 0), 0  # ranks from 0 that the answer lies between; values below `low`
+    first, last = int(place), min(int(place) + 1, max(n - 1, 0))
+    inside = n
+    while n and inside > SORTED and low < high:
+        at = F.least(F.floor((F.col("x") - low) / (high - low) * 1024), F.lit(1023))
+        bins = rows.where(F.col("x").between(low, high)).groupBy(at.alias("b")).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("b").collect()
+        upto, took = below, []
+        for b in bins:  # 1,024 at most
+            if upto + b["n"] > first and upto <= last:
+                took.append((upto, b))
+            upto += b["n"]
+        (below, one), inside = took[0], sum(b["n"] for _, b in took)
+        if (one["lo"], took[-1][1]["hi"]) == (low, high):
+            break
+        low, high = one["lo"], took[-1][1]["hi"]
+    counted = rows.where(F.col("x").between(F.lit(low), F.lit(high))).groupBy("x").agg(F.count("*").alias("n"))
+    upto = F.lit(below) + F.sum("n").over(Window.orderBy("x"))
+    placed = counted.withColumn("upto", upto)
+    holds = lambda rank: F.min(F.when(F.col("upto") > rank, F.col("x")))
+    return placed.agg(holds(first).alias("a"), holds(last).alias("b")).select((F.col("a") + (F.col("b") - F.col("a")) * (place - first)).alias(name))
 
 
 def histogram(df: DataFrame, value: str, bins: int = 100) -> DataFrame:

@@ -95,13 +95,18 @@ def inverse_gamma(rng, alpha: float, beta: float) -> float:
     return 1.0 / rng.gamma(alpha, 1.0 / beta)
 
 
-def gibbs(sources, g, m0, c0, samples: int, seed: int, extra_pass: bool = True, draw_first: bool = False):
+def residual_sums(source, theta) -> tuple[int, float]:
+    """Observations of a source, and the sum of squares of what the states leave of them."""
+    return sum(len(y) for _, y in source), sum(((y - f @ th) ** 2).sum() for (f, y), th in zip(source, theta, strict=True))
+
+
+def gibbs(sources, g, m0, c0, samples: int, seed: int, extra_pass: bool = True, draw_first: bool = False, strict_reference: bool = False):
     """Forward filtering and backward sampling with unknown noise.
 
     sources: for each source a list over time of (design rows, values). Returns the
     last sample's filter means, those of one more pass with the final parameters,
     the variances and the state noise. The parameters of the noise accumulate from
-    sample to sample."""
+    sample to sample. strict_reference: as of inverse_wishart()."""
     rng, p, t = np.random.default_rng(seed), len(m0), len(sources[0])
     alpha, beta = np.ones(len(sources)), np.full(len(sources), 0.1)
     nu, phi = float(p), 0.01 * np.eye(p)
@@ -118,12 +123,12 @@ def gibbs(sources, g, m0, c0, samples: int, seed: int, extra_pass: bool = True,
         steps = forward()
         theta = backward_sample(rng, steps, g)
         for i, s in enumerate(sources):
-            alpha[i] += sum(len(y) for _, y in s) / 2
-            beta[i] += sum(((y - f @ theta[k]) ** 2).sum() for k, (f, y) in enumerate(s)) / 2
+            n, squares = residual_sums(s, theta)
+            alpha[i], beta[i] = alpha[i] + n / 2, beta[i] + squares / 2
         r = theta[1:] - theta[:-1] @ g.T
         nu, phi = nu + t - 1, phi + r.T @ r
         var = np.array([inverse_gamma(rng, a, b) for a, b in zip(alpha, beta, strict=True)])
-        w = inverse_wishart(rng, nu, phi)
+        w = inverse_wishart(rng, nu, phi, strict_reference)
     sampled = np.array([s[2] for s in steps])
     final = np.array([s[2] for s in forward()]) if extra_pass else sampled
     return sampled, final, var, w
@@ -140,8 +145,8 @@ def gibbs_low_rank(f, y, m0, c0, samples: int, seed: int, rank: int = 8):
     for k in range(2, samples + 1):
         steps = kalman([f] * t, y, [np.full(len(v), var) for v in y], g, w, m0, c0)
         theta = backward_sample(rng, steps, g)
-        beta += sum(((v - f @ th) ** 2).sum() for v, th in zip(y, theta, strict=True)) / 2
-        alpha += sum(map(len, y)) / 2
+        n, squares = residual_sums([(f, v) for v in y], theta)
+        alpha, beta = alpha + n / 2, beta + squares / 2
         var = inverse_gamma(rng, alpha, beta)
         before, after = theta[:-1].T, theta[1:].T
         u, s, vt = np.linalg.svd(before, full_matrices=False)

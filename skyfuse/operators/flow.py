@@ -6,7 +6,7 @@ sums over columns of sums over rows: two window passes instead of a 2-D join."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -26,6 +26,21 @@ LEAST = 10
 PIVOT = 1e-12
 
 
+def flat_window(n: Column, x: Column, z: Column, xx: Column, xz: Column, zz: Column) -> Column:
+    """Whether the normal equations of a window (its number of cells, sums and products of its
+    gradients) have a pivot below PIVOT when rows are exchanged for the largest one.
+
+    The first pivot is the largest of n, x and z. Which row it takes decides which two entries
+    the second is the larger of; the product of all three is the determinant."""
+    one = F.greatest(F.abs(n), F.abs(x), F.abs(z))
+    centred = F.greatest(F.abs(xx - x * x / n), F.abs(xz - x * z / n))
+    by_x = F.greatest(F.abs(x - F.try_divide(n * xx, x)), F.abs(xz - F.try_divide(z * xx, x)))
+    by_z = F.greatest(F.abs(xx - F.try_divide(x * xz, z)), F.abs(x - F.try_divide(n * xz, z)))
+    two = F.when(F.abs(n) >= one, centred).when(F.abs(x) >= one, by_x).otherwise(by_z)
+    whole = F.abs(((xx - x * x / n) * (zz - z * z / n) - (xz - x * z / n) * (xz - x * z / n)) * n)
+    return (one < PIVOT) | (two < PIVOT) | (whole < PIVOT * one * two)
+
+
 def optical_flow(pairs: DataFrame, keys: list[str], nr: int, window: int = 15, row: str = "lon_i", col: str = "lat_i") -> DataFrame:
     """(keys, lat_i, lon_i, speed, angle in degrees) for every cell; cells at the
     border have neither, windows with a missing value no speed and angle 0, and
@@ -48,9 +63,9 @@ def optical_flow(pairs: DataFrame, keys: list[str], nr: int, window: int = 15, r
         return F.col(f"s_{xy}") - F.col(f"s_{x}") * F.col(f"s_{y}") / n
 
     sxx, szz, sxz, sxy, szy = centred("xx", "x", "x"), centred("zz", "z", "z"), centred("xz", "x", "z"), centred("xy", "x", "y"), centred("zy", "z", "y")
-    s = f.where((F.col("r") >= 1) & (F.col("c") >= 1)).select(*keys, "r", "c", "n", "good", sxx.alias("sxx"), szz.alias("szz"), sxz.alias("sxz"), sxy.alias("sxy"), szy.alias("szy"))
-    d = F.col("sxx") * F.col("szz") - F.col("sxz") * F.col("sxz")
-    flat = (F.greatest("sxx", "szz") < PIVOT) | (F.abs(d) < PIVOT * F.greatest("sxx", "szz"))
+    flat = flat_window(n, *[F.col(f"s_{k}") for k in ("x", "z", "xx", "xz", "zz")])
+    s = f.where((F.col("r") >= 1) & (F.col("c") >= 1)).select(*keys, "r", "c", "n", "good", flat.alias("flat"), sxx.alias("sxx"), szz.alias("szz"), sxz.alias("sxz"), sxy.alias("sxy"), szy.alias("szy"))
+    d, flat = F.col("sxx") * F.col("szz") - F.col("sxz") * F.col("sxz"), F.col("flat")
     slope = lambda e: F.when(flat, 0.0).otherwise(F.try_divide(F.expr(e), d))
     known = (F.col("n") >= LEAST) & (F.col("good") == F.col("n"))
     v = s.select(*keys, "r", "c", "n", "good", F.when(known, -slope("sxy * szz - szy * sxz")).alias("vr"), F.when(known, -slope("szy * sxx - sxy * sxz")).alias("vc"))

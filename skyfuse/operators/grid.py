@@ -43,10 +43,11 @@ def transpose(grid: DataFrame) -> DataFrame:
     return grid.select(*[F.col(other.get(c, c)).alias(c) for c in grid.columns])
 
 
-def wide(grid: DataFrame, row: str, column: str, value: str, n: int) -> DataFrame:
-    """One row per `row` value, with columns V1..Vn."""
-    out = grid.groupBy(row).pivot(column, list(range(n))).agg(F.first(value))
-    return out.select(row, *[F.col(str(i)).alias(f"V{i + 1}") for i in range(n)])
+def wide(grid: DataFrame, row: str, column: str, value: str, n: int, keys: list[str] | None = None) -> DataFrame:
+    """One row per key and `row` value, with columns V1..Vn."""
+    keys = keys or []
+    out = grid.groupBy(*keys, row).pivot(column, list(range(n))).agg(F.first(value))
+    return out.select(*keys, row, *[F.col(str(i)).alias(f"V{i + 1}") for i in range(n)])
 
 
 def lattice(spark: SparkSession, nr: int, n: int) -> DataFrame:

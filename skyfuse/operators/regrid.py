@@ -7,7 +7,7 @@ with partial sums. A crowded image or cell therefore needs no salting."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyfuse.config import DEFAULT, Config
@@ -58,13 +58,11 @@ def coverage(grid: DataFrame, keys: list[str]) -> DataFrame:
     return grid.groupBy(*keys).agg(F.count("*").alias("cells"), F.count("aod").alias("present"), F.count(F.when(F.col("aod").isNull(), 1)).alias("missing"))
 
 
-def merge_series(frames: list[tuple[int, DataFrame]]) -> DataFrame:
-    """Images of several steps below each other, with time_index."""
-    out = None
-    for step, df in frames:
-        df = df.withColumn("time_index", F.lit(step))
-        out = df if out is None else out.unionByName(df)
-    return out
+def merge_series(images: DataFrame, step: Column | None = None) -> DataFrame:
+    """The images of all steps as one series: time_index, from 1, in place of the step t (from 0).
+    Steps are rows of one table from the start, so nothing is united."""
+    index = F.col("t") + 1 if step is None else step
+    return images.withColumn("time_index", index.cast("int")).drop("t")
 
 
 def series_gaps(series: DataFrame, steps: int, cells: int) -> DataFrame:

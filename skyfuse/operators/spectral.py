@@ -9,10 +9,12 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from skyfuse.functions.scalar import wave_phase
+from skyfuse.session import ship
 
 TWO_PI = 2 * math.pi
 
@@ -72,41 +74,43 @@ def uniform_generator(spark: SparkSession, n: int) -> DataFrame:
     return up.union(two.select((F.col("ord") + k1 + k2).alias("i"), (F.col("ord") + k1).alias("j"), rate.alias("v")))
 
 
-def integrands(x: Column, y: Column, k1: Column, k2: Column, vx: Column, vy: Column, k: Column, kx: Column, ky: Column) -> dict[str, Column]:
-    """Per site and frequency: c, s (cosine, sine), v (drift rate), a, b (diffusion of
-    the cosine and of the sine)."""
-    th = wave_phase(x, y, k1, k2)
-    drift = (vx * k1 + vy * k2) * TWO_PI
-    lap = (k1 * k1 + k2 * k2) * k * (-4 * math.pi**2)
-    slope = (kx * k1 + ky * k2) * TWO_PI
-    return {"c": F.cos(th), "s": F.sin(th), "v": drift, "a": lap * F.cos(th) - slope * F.sin(th), "b": lap * F.sin(th) - slope * F.cos(th)}
-
-
-def generator_matrix(design: DataFrame, n: int, delta: float) -> DataFrame:
-    """(i, j, v), 1-based, of the advection-diffusion generator over the sites of
-    design (site, x, y, vx, vy, K, dKx, dKy).
-
-    Rows and columns are the basis' functions. A row's test function meets each
-    column's image under the operator at every site, so an entry is one sum over
-    sites; the join is on the site, and the N * N columns multiply it by a constant."""
-    spark = design.sparkSession
-    cols = F.broadcast(basis_columns(spark, n))
-    e = integrands(*[F.col(c) for c in ("x", "y", "k1", "k2", "vx", "vy", "K", "dKx", "dKy")])
-    per = design.join(cols).select("site", "col", "kind", *[v.alias(k) for k, v in e.items()])
-    image = F.when(F.col("kind") == "s2", -F.col("v") * F.col("c") + F.col("b")).otherwise(F.col("v") * F.col("s") + F.col("a"))
-    left = per.select("site", F.col("col").alias("i"), F.col("kind").alias("ik"), F.when(F.col("kind") == "s2", F.col("s")).otherwise(F.col("c")).alias("test"), F.col("v").alias("iv"), F.col("s").alias("is"), F.col("b").alias("ib"))
-    right = per.select("site", F.col("col").alias("j"), F.col("kind").alias("jk"), image.alias("image"), F.col("c").alias("jc"), F.col("s").alias("js"))
-    sines = (F.col("ik") == "s2") & (F.col("jk") == "s2")
-    product = F.when(sines, -F.col("iv") * F.col("is") * F.col("jc") + F.col("ib") * F.col("js")).otherwise(F.col("test") * F.col("image"))
-    # a constant test function has half the weight of the other corners'
-    ca = F.when(F.col("jk") == "c1", 1.0).otherwise(2.0)
-    cb = F.when((F.col("ik") == "c1") & (F.col("i") > 1), 2.0).otherwise(1.0)
-    entry = left.join(right, "site").groupBy("i", "j").agg((F.sum(product) * F.max(ca * cb) * (delta * delta)).alias("v"))
-    return entry
+def generator_matrix(design: DataFrame, n: int, delta: float, key: str = "domain", strict_reference: bool = True) -> DataFrame:
+    """(key, i, j, v), 1-based, of the advection-diffusion generator over the sites of
+    each domain's design (key, site, x, y, vx, vy, K, dKx, dKy).
+
+    An entry is one sum over sites. Each task makes the sums over its own sites as three dense
+    products and sends one row for each entry, whatever the number of sites, so neither a
+    domain nor a site is shuffled. strict_reference: the sign that the published model gives the
+    gradient's part in the sines' images; without it the derivative's own."""
+    ship(design.sparkSession)
+    kind, columns = design.schema[key].dataType.simpleString(), ["x", "y", "vx", "vy", "K", "dKx", "dKy"]
+
+    def run(batches):
+        sums: dict = {}
+
+        def sent():
+            for k, total in sums.items():
+                i, j = np.meshgrid(np.arange(1, len(total) + 1), np.arange(1, len(total) + 1), indexing="ij")
+                yield pd.DataFrame({key: k, "i": i.ravel().astype(np.int32), "j": j.ravel().astype(np.int32), "v": total.ravel()})
+            sums.clear()
+
+        for batch in batches:
+            for k, rows in batch.groupby(key, dropna=False):
+                own = generator_dense(rows, n, delta, strict_reference)
+                sums[k] = sums[k] + own if k in sums else own
+                if len(sums) > 16:
+                    yield from sent()
+        yield from sent()
+
+    parts = design.select(key, *columns).mapInPandas(run, f"{key} {kind}, i int, j int, v double")
+    return parts.groupBy(key, "i", "j").agg(F.sum("v").alias("v"))
+
 
+def generator_dense(design: pd.DataFrame, n: int, delta: float, strict_reference: bool = True) -> np.ndarray:
+    """The generator over some sites, as three dense products.
 
-def generator_dense(design: pd.DataFrame, n: int, delta: float) -> np.ndarray:
-    """The same as three dense products; for N as large as 20."""
+    Rows and columns are the basis' functions. A row's test function meets each column's image
+    under the operator at every site; the columns multiply the sums by constants."""
     rows = omega_rows(n)
     one = np.array([r[2:] for r in rows if r[0] == 1], float)
     two = np.array([r[2:] for r in rows if r[0] == 2], float)
@@ -117,9 +121,10 @@ def generator_dense(design: pd.DataFrame, n: int, delta: float) -> np.ndarray:
     v = TWO_PI * (vx * freq[:, 0] + vy * freq[:, 1])
     lap = -4 * math.pi**2 * (freq**2).sum(1) * k
     slope = TWO_PI * (kx * freq[:, 0] + ky * freq[:, 1])
-    a, b = lap * c - slope * s, lap * s - slope * c
+    a, b = lap * c - slope * s, lap * s - slope * c if strict_reference else lap * s + slope * c
     k1 = len(one)
     dd = delta * delta
+    # a constant test function has half the weight of the other corners'
     ca = np.where(np.arange(len(freq)) < k1, 1.0, 2.0)
     cb = np.where((np.arange(len(freq)) > 0) & (np.arange(len(freq)) < k1), 2.0, 1.0)
     pc, ps = (v * s + a), (-v * c + b)[:, k1:]
@@ -177,6 +182,61 @@ def augmented(transition: DataFrame, size: int) -> DataFrame:
     return transition.select("i", "j", "v").union(eye.select("d", F.col("d") + size, F.lit(1.0))).union(eye.select(F.col("d") + size, F.col("d") + size, F.lit(1.0)))
 
 
-def max_row_sum(matrix: DataFrame) -> DataFrame:
-    """The largest sum of absolute values of a row."""
-    return matrix.groupBy("i").agg(F.sum(F.abs("v")).alias("s")).agg(F.max("s").alias("norm"))
+def max_row_sum(matrix: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """The largest sum of absolute values of a row, per key."""
+    keys = keys or []
+    return matrix.groupBy(*keys, "i").agg(F.sum(F.abs("v")).alias("s")).groupBy(*keys).agg(F.max("s").alias("norm"))
+
+
+def identity(spark: SparkSession, size: int) -> DataFrame:
+    i = spark.range(1, size + 1).select(F.col("id").cast("int").alias("i"))
+    return i.select("i", F.col("i").alias("j"), F.lit(1.0).alias("v"))
+
+
+def axpby(a: float, x: DataFrame, b: float, y: DataFrame) -> DataFrame:
+    """a * x + b * y of two (i, j, v) matrices; absent entries are 0."""
+    both = x.select("i", "j", (F.col("v") * a).alias("v")).union(y.select("i", "j", (F.col("v") * b).alias("v")))
+    return both.groupBy("i", "j").agg(F.sum("v").alias("v"))
+
+
+def scaled(matrix: DataFrame, by: float) -> DataFrame:
+    return matrix.select("i", "j", (F.col("v") * by).alias("v"))
+
+
+def add_diagonal(matrix: DataFrame, size: int, value: float) -> DataFrame:
+    """The matrix with value added along the diagonal, also where it had no entry."""
+    return axpby(1.0, matrix, value, identity(matrix.sparkSession, size))
+
+
+def clip(field: DataFrame, value: str, least: float = 0.0) -> DataFrame:
+    """Values below `least` become it; missing ones stay missing."""
+    return field.withColumn(value, F.when(F.col(value).isNotNull(), F.greatest(F.col(value), F.lit(least))))
+
+
+def stack(obs: DataFrame, basis: DataFrame, variance: dict, keys: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The sources' observations below each other at each step, by source, then site: rows
+    (keys, t, row from 1, sat, site, y, variance), and the design rows (keys, t, row, col, v).
+    The design's second half, of the bias, is 0 and has no entries."""
+    keys = keys or []
+    noise = F.element_at(F.create_map(*[F.lit(x) for kv in variance.items() for x in kv]), F.col("sat"))
+    # a step's rows are bounded by the grid's sites and the sources
+    place = F.row_number().over(Window.partitionBy(*keys, "t").orderBy("sat", "site"))
+    rows = obs.where("y IS NOT NULL").select(*keys, "t", place.alias("row"), "sat", "site", "y", noise.alias("variance"))
+    return rows, rows.join(basis, "site").select(*keys, "t", "row", "col", "v")
+
+
+def residuals(obs: DataFrame, basis: DataFrame, path: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys, sat, n, sum_sq): per source the observations and the sum of squares of what
+    a path of states (keys, time_step, coef_idx, value) leaves of them."""
+    keys = keys or []
+    fitted = basis.join(path, F.col("col") == F.col("coef_idx")).groupBy(*keys, F.col("time_step").alias("t"), "site").agg(F.sum(F.col("v") * F.col("value")).alias("fit"))
+    left = obs.where("y IS NOT NULL").join(fitted, [*keys, "t", "site"])
+    e = F.col("y") - F.col("fit")
+    return left.groupBy(*keys, "sat").agg(F.count("*").alias("n"), F.sum(e * e).alias("sum_sq"))
+
+
+def state_residuals(path: DataFrame, transition: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys, time_step, coef_idx, value): each state less what the transition makes of the one before."""
+    keys = keys or []
+    said = matvec(transition, path, [*keys, "time_step"]).select(*keys, (F.col("time_step") + 1).alias("time_step"), "coef_idx", F.col("value").alias("said"))
+    return path.join(said, [*keys, "time_step", "coef_idx"]).select(*keys, "time_step", "coef_idx", (F.col("value") - F.col("said")).alias("value"))

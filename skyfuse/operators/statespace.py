@@ -37,18 +37,11 @@ def expm(matrices: DataFrame, size: int, key: str = "matrix_id") -> DataFrame:
     return matrices.select(key, "i", "j", "v").groupBy(key).applyInPandas(run, f"{key} {kind}, i int, j int, v double")
 
 
-def transition(design: DataFrame, n: int, delta: float, key: str = "domain") -> DataFrame:
-    """(key, i, j, v): the exponential of each domain's generator, from the rows of
-    its design (key, site, x, y, vx, vy, K, dKx, dKy). A domain is one task's."""
-    ship(design.sparkSession)
-    kind = design.schema[key].dataType.simpleString()
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        g = dense.expm(spectral.generator_dense(group.sort_values("site"), n, delta))
-        i, j = np.meshgrid(np.arange(1, len(g) + 1), np.arange(1, len(g) + 1), indexing="ij")
-        return pd.DataFrame({key: group[key].iloc[0], "i": i.ravel(), "j": j.ravel(), "v": g.ravel()})
-
-    return design.groupBy(key).applyInPandas(run, f"{key} {kind}, i int, j int, v double")
+def transition(design: DataFrame, n: int, delta: float, key: str = "domain", strict_reference: bool = True) -> DataFrame:
+    """(key, i, j, v): the exponential of each domain's generator, from the rows of its
+    design (key, site, x, y, vx, vy, K, dKx, dKy). Sums over sites are made where the sites are;
+    a task gets matrices, whose size N fixes."""
+    return expm(spectral.generator_matrix(design, n, delta, key, strict_reference), n * n, key)
 
 
 def _by_time(group: pd.DataFrame, basis: np.ndarray, steps: int, source) -> list:
@@ -72,26 +65,66 @@ def kalman_filter(obs: DataFrame, basis: np.ndarray, g: np.ndarray, w: np.ndarra
     kind = obs.schema[key].dataType.simpleString()
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        own = {s: _by_time(group, basis, steps, s) for s in sorted(variance)}
-        fs = [np.vstack([own[s][t][0] for s in own]) for t in range(steps)]
-        ys = [np.concatenate([own[s][t][1] for s in own]) for t in range(steps)]
-        vs = [np.concatenate([np.full(len(own[s][t][1]), variance[s]) for s in own]) for t in range(steps)]
-        return _state(group[key].iloc[0], key, np.array([x[2] for x in dense.kalman(fs, ys, vs, g, w, m0, c0)]))
+        return _state(group[key].iloc[0], key, np.array([x[2] for x in _moments(group, basis, g, w, variance, m0, c0, steps)]))
+
+    return obs.groupBy(key).applyInPandas(run, f"{key} {kind}, {STATE}")
+
+
+def _moments(group: pd.DataFrame, basis, g, w, variance: dict, m0, c0, steps: int):
+    own = {s: _by_time(group, basis, steps, s) for s in sorted(variance)}
+    fs = [np.vstack([own[s][t][0] for s in own]) for t in range(steps)]
+    ys = [np.concatenate([own[s][t][1] for s in own]) for t in range(steps)]
+    vs = [np.concatenate([np.full(len(own[s][t][1]), variance[s]) for s in own]) for t in range(steps)]
+    return dense.kalman(fs, ys, vs, g, w, m0, c0)
+
+
+def kalman_moments(obs: DataFrame, basis: np.ndarray, g: np.ndarray, w: np.ndarray, variance: dict, m0, c0, steps: int, key: str = "chain", strict_reference: bool = False) -> DataFrame:
+    """(key, kind, time_step, i, j, value): predicted and filtered moments of each chain; j = 0 is
+    the mean, else an entry of the covariance. The prediction goes on to step steps + 1;
+    strict_reference: from the filtered covariance of the last step without the state's noise."""
+    ship(obs.sparkSession)
+    kind = obs.schema[key].dataType.simpleString()
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        moments = _moments(group, basis, g, w, variance, m0, c0, steps)
+        m, c = moments[-1][2:]
+        ahead = [("predicted", steps + 1, g @ m, g @ c @ g.T + (0 if strict_reference else w))]
+        for name, t, mean, cov in [x for t, s in enumerate(moments, 1) for x in (("predicted", t, *s[:2]), ("filtered", t, *s[2:]))] + ahead:
+            p = len(mean)
+            i, j = np.meshgrid(np.arange(1, p + 1), np.arange(p + 1), indexing="ij")
+            out.append(pd.DataFrame({key: group[key].iloc[0], "kind": name, "time_step": t, "i": i.ravel(), "j": j.ravel(), "value": np.hstack([mean[:, None], cov]).ravel()}))
+        return pd.concat(out)
+
+    return obs.groupBy(key).applyInPandas(run, f"{key} {kind}, kind string, time_step int, i int, j int, value double")
+
+
+def backward_sample(obs: DataFrame, basis: np.ndarray, g: np.ndarray, w: np.ndarray, variance: dict, m0, c0, steps: int, seed: int = 222, key: str = "chain") -> DataFrame:
+    """(key, time_step, coef_idx, value): a path of states drawn backwards from each chain's
+    filter. A chain's draws depend on its key and the seed alone."""
+    ship(obs.sparkSession)
+    kind = obs.schema[key].dataType.simpleString()
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        chain = group[key].iloc[0]
+        moments = _moments(group, basis, g, w, variance, m0, c0, steps)
+        return _state(chain, key, dense.backward_sample(np.random.default_rng(seed + int(chain)), moments, g))
 
     return obs.groupBy(key).applyInPandas(run, f"{key} {kind}, {STATE}")
 
 
-def gibbs_ffbs(obs: DataFrame, basis: np.ndarray, g: np.ndarray, m0, c0, steps: int, samples: int = 10, seed: int = 222, sats: tuple = (0, 1), key: str = "chain") -> DataFrame:
+def gibbs_ffbs(obs: DataFrame, basis: np.ndarray, g: np.ndarray, m0, c0, steps: int, samples: int = 10, seed: int = 222, sats: tuple = (0, 1), key: str = "chain", strict_reference: bool = False) -> DataFrame:
     """(key, pass, time_step, coef_idx, value): filter means of the last sample
     (pass 'sample') and of one more pass with the final parameters (pass 'final').
-    A chain's draws depend on its key and the seed alone. One source: sats of one."""
+    A chain's draws depend on its key and the seed alone. One source: sats of one.
+    strict_reference: the accelerated recipe of the state noise's draws."""
     ship(obs.sparkSession)
     kind = obs.schema[key].dataType.simpleString()
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         chain = group[key].iloc[0]
         sources = [_by_time(group, basis, steps, s) for s in sats]
-        sampled, final, _, _ = dense.gibbs(sources, g, m0, c0, samples, seed + int(chain))
+        sampled, final, _, _ = dense.gibbs(sources, g, m0, c0, samples, seed + int(chain), strict_reference=strict_reference)
         return pd.concat([_state(chain, key, sampled, **{"pass": "sample"}), _state(chain, key, final, **{"pass": "final"})])
 
     return obs.groupBy(key).applyInPandas(run, f"{key} {kind}, pass string, {STATE}")

@@ -9,18 +9,25 @@ from pyspark.sql import functions as F
 from skyfuse.config import DEFAULT, Config
 from skyfuse.operators import flow, impute, regrid, smooth, spectral
 from skyfuse.operators import grid as cells
+from skyfuse.session import written
 from skyfuse.sources import synth
 
 SMALL = Config(nr=12, resolution=0.2)
 SMALL_N = 4
 
 
-def images(spark: SparkSession, sf_dir: str, keys=("t",), cfg: Config = DEFAULT) -> DataFrame:
-    return regrid.images(regrid.clean_points(synth.points(spark, sf_dir), cfg), list(keys), cfg)
+def images(spark: SparkSession, sf_dir: str, keys=("t",), cfg: Config = DEFAULT, steps: int = 5) -> DataFrame:
+    return regrid.images(regrid.clean_points(synth.points(spark, sf_dir, steps), cfg), list(keys), cfg)
 
 
-def filled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return impute.knn_impute(images(spark, sf_dir), ["t"], DEFAULT.k, DEFAULT.nr)
+def small(spark: SparkSession, sf_dir: str, keys=("t",), cfg: Config = DEFAULT) -> DataFrame:
+    """The images as a table of their own: of a size fixed by the grid and the steps, however
+    many points they come from, and read several times by what follows."""
+    return written(images(spark, sf_dir, keys, cfg))
+
+
+def filled(spark: SparkSession, sf_dir: str, raw: DataFrame | None = None) -> DataFrame:
+    return written(impute.knn_impute(small(spark, sf_dir) if raw is None else raw, ["t"], DEFAULT.k, DEFAULT.nr))
 
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,21 +39,25 @@ def mean_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return smooth.velocity(mean_flow(spark, sf_dir))
+    return written(smooth.velocity(mean_flow(spark, sf_dir)))
 
 
-def diffusivity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return smooth.smagorinsky(velocity(spark, sf_dir))
+def diffusivity(spark: SparkSession, sf_dir: str, v: DataFrame | None = None) -> DataFrame:
+    return smooth.smagorinsky(velocity(spark, sf_dir) if v is None else v)
 
 
-def gradients(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return smooth.gradient(smooth.kernel_smooth(diffusivity(spark, sf_dir), ["K"]))
+def gradients(spark: SparkSession, sf_dir: str, v: DataFrame | None = None) -> DataFrame:
+    return smooth.gradient(smooth.kernel_smooth(diffusivity(spark, sf_dir, v), ["K"]))
 
 
 def design(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(domain, site from 1, x, y, vx, vy, K, dKx, dKy) of the whole grid; absent values count as 0."""
-    v, k = velocity(spark, sf_dir).select("lat_i", "lon_i", "v_x", "v_y"), gradients(spark, sf_dir)
-    n = DEFAULT.nr
+    v = velocity(spark, sf_dir)
+    return design_of(v, gradients(spark, sf_dir, v))
+
+
+def design_of(v: DataFrame, k: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    v, n = v.select("lat_i", "lon_i", "v_x", "v_y"), cfg.nr
     zero = lambda c, a: F.coalesce(c, F.lit(0.0)).alias(a)
     return v.join(k, ["lat_i", "lon_i"]).select(
         F.lit(0).alias("domain"), (F.col("lat_i") * n + F.col("lon_i") + 1).alias("site"), (F.col("lon_i") / float(n)).alias("x"), (F.col("lat_i") / float(n)).alias("y"),
@@ -78,11 +89,11 @@ def small_basis_matrix() -> np.ndarray:
     return basis_matrix(SMALL.nr, SMALL_N)
 
 
-def small_design(spark: SparkSession, sf_dir: str) -> DataFrame:
+def simple_design(spark: SparkSession, sf_dir: str, cfg: Config = SMALL) -> DataFrame:
+    """(domain, site from 1, x, y, vx, vy, K, dKx, dKy) of every step, straight from its image: a domain a step."""
     a = F.coalesce("aod", F.lit(0.0))
-    rows = images(spark, sf_dir, ("t",), SMALL).where("t = 0")
-    return rows.select(
-        (F.col("lat_i") * SMALL.nr + F.col("lon_i") + 1).alias("site"), (F.col("lon_i") / float(SMALL.nr)).alias("x"), (F.col("lat_i") / float(SMALL.nr)).alias("y"),
+    return images(spark, sf_dir, ("t",), cfg).select(
+        F.col("t").alias("domain"), (F.col("lat_i") * cfg.nr + F.col("lon_i") + 1).alias("site"), (F.col("lon_i") / float(cfg.nr)).alias("x"), (F.col("lat_i") / float(cfg.nr)).alias("y"),
         (a * 0.01).alias("vx"), (a * 0.02 - 0.01).alias("vy"), (a * 0.001).alias("K"), (a * 0.002).alias("dKx"), (a * -0.001).alias("dKy"),
     )
 

@@ -44,7 +44,7 @@ def domain_filter_clamp(spark, d):
 
 def merge_series(spark, d):
     g = frames.images(spark, d)
-    merged = regrid.merge_series([(t + 1, g.where(F.col("t") == t).select("lat_i", "lon_i", "aod")) for t in range(5)])
+    merged = regrid.merge_series(g)
     return merged.groupBy("time_index").agg(F.count("*").alias("n_rows"), F.count("aod").alias("present"), r6(F.sum("aod")).alias("total"))
 
 
@@ -80,8 +80,8 @@ def cell_bounds(spark, d):
 
 
 def transpose_pivot(spark, d):
-    g = cells.transpose(frames.images(spark, d, cfg=SMALL).where("t = 1").select("lat_i", "lon_i", "aod"))
-    return rounded(cells.wide(g, "lat_i", "lon_i", "aod", SMALL.nr), *[f"V{i + 1}" for i in range(SMALL.nr)])
+    g = cells.transpose(frames.images(spark, d, cfg=SMALL).select("t", "lat_i", "lon_i", "aod"))
+    return rounded(cells.wide(g, "lat_i", "lon_i", "aod", SMALL.nr, ["t"]), *[f"V{i + 1}" for i in range(SMALL.nr)])
 
 
 def knn_distance(spark, d):
@@ -174,20 +174,31 @@ def generator_uniform(spark, d):
 
 
 def generator_matrix_small(spark, d):
-    return rounded(spectral.generator_matrix(frames.small_design(spark, d), SMALL_N, 1.0 / SMALL.nr), "v")
+    return rounded(spectral.generator_matrix(frames.simple_design(spark, d), SMALL_N, 1.0 / SMALL.nr), "v")
 
 
 def max_row_sum(spark, d):
-    g = spectral.generator_matrix(frames.small_design(spark, d), SMALL_N, 1.0 / SMALL.nr)
-    return rounded(spectral.max_row_sum(g), "norm")
+    g = spectral.generator_matrix(frames.simple_design(spark, d), SMALL_N, 1.0 / SMALL.nr)
+    return rounded(spectral.max_row_sum(g, ["domain"]), "norm")
+
+
+def generator_matrix(spark, d):
+    """All 400 x 400 entries, over the 3,600 sites of the mean image of all steps."""
+    g = frames.images(spark, d).groupBy("lat_i", "lon_i").agg(F.coalesce(F.avg("aod"), F.lit(0.0)).alias("a"))
+    n, a = DEFAULT.nr, F.col("a")
+    design = g.select(
+        F.lit(0).alias("domain"), (F.col("lon_i") / float(n)).alias("x"), (F.col("lat_i") / float(n)).alias("y"),
+        (a * 0.01).alias("vx"), (a * 0.02 - 0.01).alias("vy"), (a * 0.001).alias("K"), (a * 0.002).alias("dKx"), (a * -0.001).alias("dKy"),
+    )
+    return rounded(spectral.generator_matrix(design, DEFAULT.fourier, 1.0 / n).select("i", "j", "v"), "v")
 
 
 def uds_lattice(spark, d):
     return cells.lattice(spark, DEFAULT.nr, DEFAULT.lattice)
 
 
-def _observations(spark, d):
-    g = cells.down_sample(frames.images(spark, d, ("sat", "t")), "aod", DEFAULT.nr, DEFAULT.lattice)
+def _observations(spark, d, steps: int = 5):
+    g = cells.down_sample(frames.images(spark, d, ("sat", "t"), steps=steps), "aod", DEFAULT.nr, DEFAULT.lattice)
     return cells.observed(g, "aod", DEFAULT.nr)
 
 
@@ -317,9 +328,64 @@ def kalman_scalar(spark, d):
     return rounded(got, "value")
 
 
+def kalman_two_state(spark, d):
+    """Predicted and filtered moments of a drifting level seen by one source, up to one step beyond the last."""
+    obs = frames.small_obs(spark, d).groupBy(F.col("sat").alias("chain"), "t").agg(r6(F.avg("y")).alias("y"))
+    obs = obs.select("chain", F.lit(0).alias("sat"), "t", F.lit(1).alias("site"), "y")
+    g, w = np.array([[1.0, 1.0], [0.0, 0.8]]), np.diag([0.05, 0.02])
+    got = statespace.kalman_moments(obs, np.array([[1.0, 0.5]]), g, w, {0: 0.5}, np.array([0.1, 0.0]), 0.01 * np.eye(2), 5)
+    return rounded(got, "value")
+
+
+def obs_stack(spark, d):
+    """Rows of the two sources' observations below each other, and what the design has in them."""
+    obs = frames.small_obs(spark, d).select("sat", "t", "site", "y")
+    rows, design = spectral.stack(obs, frames.small_basis(spark), {0: 0.05, 1: 0.08})
+    per = design.groupBy("t", "row").agg(F.count("*").alias("entries"), F.round(F.sum("v"), 9).alias("sum_v"))
+    return rounded(rows.join(per, ["t", "row"]), "y", "variance")
+
+
+def residual_sums(spark, d):
+    obs = frames.small_obs(spark, d).select("sat", "t", "site", "y")
+    path = synth.state(spark, 5, 2 * SMALL_N**2).where(F.col("coef_idx") <= SMALL_N**2)
+    return rounded(spectral.residuals(obs, frames.small_basis(spark), path), "sum_sq")
+
+
+def state_residuals(spark, d):
+    size = SMALL_N**2
+    g = spectral.augmented(frames.small_transition(spark, size), size)
+    return spectral.state_residuals(synth.state(spark, 5, 2 * size), g).withColumn("value", F.round("value", 9) + 0.0)
+
+
+def matrix_helpers(spark, d):
+    """2 * (T + 0.5 I) - 0.3 * T**2."""
+    size = SMALL_N**2
+    g = frames.small_transition(spark, size)
+    return rounded(spectral.axpby(1.0, spectral.scaled(spectral.add_diagonal(g, size, 0.5), 2.0), -0.3, spectral.matmul(g, g)), "v")
+
+
+def clip_field(spark, d):
+    g = frames.images(spark, d, cfg=SMALL).withColumn("aod", F.col("aod") - 0.45)
+    return rounded(spectral.clip(g, "aod").select("t", "lat_i", "lon_i", "aod"), "aod")
+
+
+def coordinate_rounding(spark, d):
+    """Coordinates as their files hold them: two decimals."""
+    e = table(spark, d, "events").select("event_id", (F.col("value") / 7.0).alias("lat"), (F.col("value") / -3.0).alias("lon"))
+    return files.two_decimals(e, "lat", "lon")
+
+
+def scene_listing(spark, d):
+    """Scenes of one product, source and range of hours, from object names."""
+    e = table(spark, d, "events")
+    hour = (F.col("event_id") % 24).cast("int")
+    key = F.format_string("product-%d/2024/%03d/%02d/OR_product-%d_s%d.%s", F.col("user_id") % 3, F.col("user_id") % 5 + 1, hour, F.col("user_id") % 3, F.col("event_id"), F.when(F.col("event_id") % 7 == 0, "tmp").otherwise("nc"))
+    return files.list_scenes(e.select(key.alias("path"), F.col("value").cast("long").alias("length")), "product-1", 2024, 2, range(18, 23))
+
+
 def matrix_expm(spark, d):
-    g = spectral.generator_matrix(frames.small_design(spark, d), SMALL_N, 1.0 / SMALL.nr).withColumn("matrix_id", F.lit(1))
-    return rounded(statespace.expm(g, SMALL_N**2), "v")
+    g = spectral.generator_matrix(frames.simple_design(spark, d), SMALL_N, 1.0 / SMALL.nr)
+    return rounded(statespace.expm(g, SMALL_N**2, "domain"), "v")
 
 
 def transition_matrix(spark, d):
@@ -327,13 +393,13 @@ def transition_matrix(spark, d):
     return statespace.transition(frames.design(spark, d), DEFAULT.fourier, 1.0 / DEFAULT.nr)
 
 
-def gibbs_full(spark, d, samples: int = DEFAULT.gibbs_samples):
-    """The two-source model at full size: 800 states, the lattice's observations."""
+def gibbs_full(spark, d, samples: int = DEFAULT.gibbs_samples, steps: int = DEFAULT.steps):
+    """The two-source model at full size: 800 states, 20 steps, the lattice's observations."""
     p = DEFAULT.fourier**2
     f = frames.basis_matrix(DEFAULT.nr, DEFAULT.fourier)
     big = np.block([[np.eye(p), np.eye(p)], [np.zeros((p, p)), np.eye(p)]])
-    obs = _observations(spark, d).select(F.lit(0).alias("chain"), "sat", (F.col("t") + 1).alias("t"), (F.col("site") + 1).alias("site"), F.col("aod").alias("y"))
-    return statespace.gibbs_ffbs(obs, np.hstack([f, np.zeros_like(f)]), big, np.full(2 * p, DEFAULT.m0), DEFAULT.c0 * np.eye(2 * p), 5, samples, DEFAULT.seed)
+    obs = _observations(spark, d, steps).select(F.lit(0).alias("chain"), "sat", (F.col("t") + 1).alias("t"), (F.col("site") + 1).alias("site"), F.col("aod").alias("y"))
+    return statespace.gibbs_ffbs(obs, np.hstack([f, np.zeros_like(f)]), big, np.full(2 * p, DEFAULT.m0), DEFAULT.c0 * np.eye(2 * p), steps, samples, DEFAULT.seed)
 
 
 def _model():
@@ -378,7 +444,7 @@ _QUERIES = (
     flow_pairs, optical_flow, flow_average, flow_average_independent, kernel_smooth, velocity_components, smagorinsky_k, k_gradient, unit_conversion, arrow_rescale, polar_decode,
     omega_set, fourier_basis, dft_coefficients, source_signal, generator_uniform, generator_matrix_small, max_row_sum, uds_lattice, obs_assembly, obs_rows, obs_summary,
     state_reconstruction, kstep_forecast_small, forecast_error, prediction_pool, matrix_power, augmented_transition, compare_per_step, nan_mismatch, worst_cells, histogram_density, percentile_98,
-    coef_corr, filter_rmse, count_equality, row_gates, geos_inverse, ivw_fusion, kalman_scalar, matrix_expm, transition_matrix, kalman_filter, gibbs_ffbs, gibbs_one_source, gibbs_lowrank, fusion_mse_study,
+    coef_corr, filter_rmse, count_equality, row_gates, geos_inverse, ivw_fusion, kalman_scalar, kalman_two_state, obs_stack, residual_sums, state_residuals, matrix_helpers, clip_field, coordinate_rounding, scene_listing, generator_matrix, matrix_expm, transition_matrix, kalman_filter, gibbs_ffbs, gibbs_one_source, gibbs_lowrank, fusion_mse_study,
 )
 
 

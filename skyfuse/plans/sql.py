@@ -80,10 +80,11 @@ FLOW = f"""{PAIRS}, change AS (
 ), down AS (SELECT pair, r, c, {_sums(_NAMES, "c", "r")} FROM product
 ), win AS (SELECT pair, r, c, {_sums(_NAMES, "r", "c")} FROM down
 ), moments AS (
-  SELECT pair, r, c, n, good, s_xx - s_x * s_x / n AS sxx, s_zz - s_z * s_z / n AS szz, s_xz - s_x * s_z / n AS sxz, s_xy - s_x * s_y / n AS sxy, s_zy - s_z * s_y / n AS szy FROM win WHERE r >= 1 AND c >= 1
+  SELECT pair, r, c, n, good, s_x AS px, s_z AS pz, s_xx AS pxx, s_xz AS pxz, s_xx - s_x * s_x / n AS sxx, s_zz - s_z * s_z / n AS szz, s_xz - s_x * s_z / n AS sxz, s_xy - s_x * s_y / n AS sxy, s_zy - s_z * s_y / n AS szy FROM win WHERE r >= 1 AND c >= 1
 ), vector AS (
   SELECT pair, r, c, n, CASE WHEN n >= 10 AND good = n THEN CASE WHEN flat THEN 0.0 ELSE -(sxy * szz - szy * sxz) / d END END AS vr, CASE WHEN n >= 10 AND good = n THEN CASE WHEN flat THEN 0.0 ELSE -(szy * sxx - sxy * sxz) / d END END AS vc
-  FROM (SELECT *, sxx * szz - sxz * sxz AS d, greatest(sxx, szz) < 1e-12 OR abs(sxx * szz - sxz * sxz) < 1e-12 * greatest(sxx, szz) AS flat FROM moments)
+  FROM (SELECT *, sxx * szz - sxz * sxz AS d, second < 1e-12 OR abs((sxx * szz - sxz * sxz) * n) / (greatest(n, abs(px), abs(pz)) * second) < 1e-12 AS flat FROM (
+    SELECT *, CASE WHEN n >= abs(px) AND n >= abs(pz) THEN greatest(abs(sxx), abs(sxz)) WHEN abs(px) >= abs(pz) THEN greatest(abs(px - n * pxx / px), abs(pxz - pz * pxx / px)) ELSE greatest(abs(pxx - px * pxz / pz), abs(px - n * pxz / pz)) END AS second FROM moments))
 ), flows AS (
   SELECT p.pair, p.lat_i, p.lon_i, sqrt(vr * vr + vc * vc) AS speed,
     CASE WHEN v.n IS NULL THEN NULL WHEN vr IS NULL THEN 0.0 WHEN vr = 0 AND vc = 0 THEN 0.0 WHEN degrees(atan2(vr, vc)) < 0 THEN degrees(atan2(vr, vc)) + 360 ELSE degrees(atan2(vr, vc)) END AS angle
@@ -162,16 +163,46 @@ def ahead(start: int) -> str:
 
 
 GENERATOR = f"""{SMALL}, {BASIS}, design AS (
-  SELECT lat_i * 12 + lon_i + 1 AS site, coalesce(aod, 0) * 0.01 AS vx, coalesce(aod, 0) * 0.02 - 0.01 AS vy, coalesce(aod, 0) * 0.001 AS K, coalesce(aod, 0) * 0.002 AS kx, coalesce(aod, 0) * -0.001 AS ky FROM images WHERE t = 0
+  SELECT t AS domain, lat_i * 12 + lon_i + 1 AS site, coalesce(aod, 0) * 0.01 AS vx, coalesce(aod, 0) * 0.02 - 0.01 AS vy, coalesce(aod, 0) * 0.001 AS K, coalesce(aod, 0) * 0.002 AS kx, coalesce(aod, 0) * -0.001 AS ky FROM images
 ), per AS (
-  SELECT site, col, kind, cos(th) AS c, sin(th) AS s, 2 * pi() * (vx * k1 + vy * k2) AS v, -4 * pi() * pi() * (k1 * k1 + k2 * k2) * K AS l, 2 * pi() * (kx * k1 + ky * k2) AS g
+  SELECT domain, site, col, kind, cos(th) AS c, sin(th) AS s, 2 * pi() * (vx * k1 + vy * k2) AS v, -4 * pi() * pi() * (k1 * k1 + k2 * k2) * K AS l, 2 * pi() * (kx * k1 + ky * k2) AS g
   FROM (SELECT *, 2 * pi() * (x * k1 + y * k2) AS th FROM sites JOIN design USING (site), columns_of)
 ), entries AS (
-  SELECT m.col AS i, k.col AS j, CASE WHEN m.kind = 's2' AND k.kind = 's2' THEN
+  SELECT m.domain, m.col AS i, k.col AS j, CASE WHEN m.kind = 's2' AND k.kind = 's2' THEN
       sum(-m.v * m.s * k.c + (m.l * m.s - m.g * m.c) * k.s)
     ELSE sum((CASE m.kind WHEN 's2' THEN m.s ELSE m.c END) * (CASE k.kind WHEN 's2' THEN -k.v * k.c + (k.l * k.s - k.g * k.c) ELSE k.v * k.s + (k.l * k.c - k.g * k.s) END)) END
     * (CASE k.kind WHEN 'c1' THEN 1 ELSE 2 END) * (CASE WHEN m.kind = 'c1' AND m.col > 1 THEN 2 ELSE 1 END) / 144.0::DOUBLE AS v
-  FROM per m JOIN per k ON m.site = k.site GROUP BY m.col, k.col, m.kind, k.kind
+  FROM per m JOIN per k ON m.site = k.site AND m.domain = k.domain GROUP BY m.domain, m.col, k.col, m.kind, k.kind
+)"""
+
+#: The same for 20 x 20 functions and 3,600 sites: each function's values as a list over the sites, an entry an inner product
+GENERATOR_FULL = f"""{GRID}, {omega(20)}, columns_of AS (
+  SELECT ord AS col, 'c1' AS kind, k1, k2 FROM om WHERE grp = 1 UNION ALL SELECT 4 + ord, 'c2', k1, k2 FROM om WHERE grp = 2 UNION ALL SELECT 202 + ord, 's2', k1, k2 FROM om WHERE grp = 2
+), design AS (
+  SELECT lat_i * 60 + lon_i AS site, lon_i / 60.0::DOUBLE AS x, lat_i / 60.0::DOUBLE AS y, coalesce(avg(aod), 0) AS a FROM images GROUP BY lat_i, lon_i
+), per AS (
+  SELECT site, col, kind, cos(th) AS c, sin(th) AS s, 2 * pi() * (a * 0.01 * k1 + (a * 0.02 - 0.01) * k2) AS v, -4 * pi() * pi() * (k1 * k1 + k2 * k2) * a * 0.001 AS l, 2 * pi() * (a * 0.002 * k1 - a * 0.001 * k2) AS g
+  FROM (SELECT *, 2 * pi() * (x * k1 + y * k2) AS th FROM design, columns_of)
+), lists AS (
+  SELECT col, kind, list(c ORDER BY site) AS c, list(s ORDER BY site) AS s, list(-v * s ORDER BY site) AS vs, list(l * s - g * c ORDER BY site) AS b,
+    list(CASE kind WHEN 's2' THEN s ELSE c END ORDER BY site) AS test, list(CASE kind WHEN 's2' THEN -v * c + (l * s - g * c) ELSE v * s + (l * c - g * s) END ORDER BY site) AS image
+  FROM per GROUP BY col, kind
+), entries AS (
+  SELECT m.col AS i, k.col AS j, (CASE WHEN m.kind = 's2' AND k.kind = 's2' THEN list_inner_product(m.vs, k.c) + list_inner_product(m.b, k.s) ELSE list_inner_product(m.test, k.image) END)
+    * (CASE k.kind WHEN 'c1' THEN 1 ELSE 2 END) * (CASE WHEN m.kind = 'c1' AND m.col > 1 THEN 2 ELSE 1 END) / 3600.0::DOUBLE AS v
+  FROM lists m, lists k
+)"""
+
+#: Two states (m1, m2) with covariance (a, b, d): the prediction of a step, then the filter's correction by y
+TWO_STATE = f"""{SMALL_BOTH}, obs AS (SELECT sat, t + 1 AS t, {r6('avg(aod)')} AS y FROM images WHERE aod IS NOT NULL GROUP BY ALL), run AS (
+  SELECT DISTINCT sat, 0 AS t, 0.1::DOUBLE AS m1, 0.0::DOUBLE AS m2, 0.01::DOUBLE AS a, 0.0::DOUBLE AS b, 0.01::DOUBLE AS d, 0.0::DOUBLE AS p1, 0.0::DOUBLE AS p2, 0.0::DOUBLE AS pa, 0.0::DOUBLE AS pb, 0.0::DOUBLE AS pd FROM obs
+  UNION ALL
+  SELECT sat, t, p1 + (pa + 0.5 * pb) / q * e, p2 + (pb + 0.5 * pd) / q * e, pa - (pa + 0.5 * pb) * (pa + 0.5 * pb) / q, pb - (pa + 0.5 * pb) * (pb + 0.5 * pd) / q, pd - (pb + 0.5 * pd) * (pb + 0.5 * pd) / q, p1, p2, pa, pb, pd FROM (
+    SELECT *, pa + pb + 0.25 * pd + 0.5 + 1e-8 AS q, y - p1 - 0.5 * p2 AS e FROM (
+      SELECT r.sat, r.t + 1 AS t, o.y, m1 + m2 AS p1, 0.8 * m2 AS p2, a + 2 * b + d + 0.05 AS pa, 0.8 * (b + d) AS pb, 0.64 * d + 0.02 AS pd FROM run r JOIN obs o ON o.sat = r.sat AND o.t = r.t + 1))
+), told AS (
+  SELECT sat, 'filtered' AS kind, t, m1, m2, a, b, d FROM run WHERE t > 0 UNION ALL SELECT sat, 'predicted', t, p1, p2, pa, pb, pd FROM run WHERE t > 0
+  UNION ALL SELECT sat, 'predicted', 6, m1 + m2, 0.8 * m2, a + 2 * b + d + 0.05, 0.8 * (b + d), 0.64 * d + 0.02 FROM run WHERE t = 5
 )"""
 
 OBSERVED = f"""{BOTH}, observed AS (
@@ -228,7 +259,7 @@ SQL: dict[str, str] = {
     "slot_index": f"WITH {SCENES} SELECT sat, path, (hour - 18) * 12 + j + 1 AS t FROM kept",
     "new_files": "SELECT printf('img_%08d.nc', event_id) AS path FROM events WHERE NOT coalesce(floor(value * 1000) > 100000, FALSE)",
     "cell_bounds": f"WITH {axes(60, '0.04')} SELECT a.i * 60 + o.i AS site, a.i AS lat_i, o.i AS lon_i, {r6('(a.i + 0.5::DOUBLE) * 0.04::DOUBLE + 35.0::DOUBLE')} AS lat, {r6('(o.i + 0.5::DOUBLE) * 0.04::DOUBLE + -124.0::DOUBLE')} AS lon, {r6('a.lo')} AS lat_lo, {r6('a.hi')} AS lat_hi, {r6('o.lo')} AS lon_lo, {r6('o.hi')} AS lon_hi FROM lat_axis a, lon_axis o",
-    "transpose_pivot": f"WITH {SMALL} SELECT lon_i AS lat_i, {', '.join(f'{r6(f"max(aod) FILTER (WHERE lat_i = {j})")} AS V{j + 1}' for j in range(12))} FROM images WHERE t = 1 GROUP BY lon_i",
+    "transpose_pivot": f"WITH {SMALL} SELECT t, lon_i AS lat_i, {', '.join(f'{r6(f"max(aod) FILTER (WHERE lat_i = {j})")} AS V{j + 1}' for j in range(12))} FROM images GROUP BY t, lon_i",
     "knn_distance": f"WITH {NEAR} SELECT t, r, s, d FROM same",
     "knn_impute": f"WITH {FILLED} SELECT t, lat_i, lon_i, {cols('aod')} FROM filled",
     "imputed_split": f"WITH {FILLED}, d AS (SELECT f.*, i.aod AS o, CASE WHEN f.aod IS NULL THEN NULL WHEN lat_i % 2 = 0 THEN 0.25 ELSE 0.125 END AS diff FROM filled f JOIN images i USING (t, lat_i, lon_i)) SELECT {r6('max(diff) FILTER (WHERE o IS NULL)')} AS imputed, {r6('max(diff) FILTER (WHERE o IS NOT NULL)')} AS untouched FROM d",
@@ -248,8 +279,8 @@ SQL: dict[str, str] = {
     "dft_coefficients": f"WITH {SMALL}, {omega(6)} SELECT t, k1, k2, {r6('sum(coalesce(aod, 0) * cos(2 * pi() / 12 * (lon_i * k1 + lat_i * k2))) / 144')} AS re, {r6('sum(coalesce(aod, 0) * sin(2 * pi() / 12 * (lon_i * k1 + lat_i * k2))) / 144')} AS im FROM images, om GROUP BY t, k1, k2",
     "source_signal": f"WITH {BASIS} SELECT site, {r6('(exp(-sqrt((x - 0.2) * (x - 0.2) + (y - 0.3) * (y - 0.3)) / 0.32) + exp(-sqrt((x - 0.7) * (x - 0.7) + (y - 0.6) * (y - 0.6)) / 0.32) + exp(-sqrt((x - 0.5) * (x - 0.5) + (y - 0.9) * (y - 0.9)) / 0.32)) * 0.5 / (2 * pi() * 0.16)')} AS signal FROM sites",
     "generator_uniform": f"WITH {omega(6)} SELECT ord + 4 AS i, ord + 20 AS j, {r6('-2 * pi() * (k1 + k2)')} AS v FROM om WHERE grp = 2 UNION ALL SELECT ord + 20, ord + 4, {r6('2 * pi() * (k1 + k2)')} FROM om WHERE grp = 2",
-    "generator_matrix_small": f"WITH {GENERATOR} SELECT i, j, {cols('v')} FROM entries",
-    "max_row_sum": f"WITH {GENERATOR} SELECT {r6('max(s)')} AS norm FROM (SELECT sum(abs(v)) AS s FROM entries GROUP BY i)",
+    "generator_matrix_small": f"WITH {GENERATOR} SELECT domain, i, j, {cols('v')} FROM entries",
+    "max_row_sum": f"WITH {GENERATOR} SELECT domain, {r6('max(s)')} AS norm FROM (SELECT domain, sum(abs(v)) AS s FROM entries GROUP BY domain, i) GROUP BY domain",
     "uds_lattice": "SELECT trunc(60 / 20.0 * range)::INT - 1 AS idx FROM range(1, 21)",
     "obs_assembly": f"WITH {OBSERVED} SELECT sat, t, site, {cols('y')} FROM observed",
     "obs_rows": f"WITH {SMALL_BOTH}, {BASIS} SELECT sat, t + 1 AS t, col, count(*) AS n, round(sum(v * aod), 9) AS fy FROM images JOIN basis ON site = lat_i * 12 + lon_i + 1 WHERE aod IS NOT NULL GROUP BY ALL",
@@ -271,6 +302,20 @@ SQL: dict[str, str] = {
     "row_gates": f"WITH {GRID} SELECT 'grid' AS gate, count(*) AS n_rows, count(*) >= 18000 AS passed FROM images UNION ALL SELECT 'present', count(*), count(*) >= 10 FROM images WHERE aod IS NOT NULL",
     "geos_inverse": f"WITH mesh AS (SELECT x.range::INT AS i, y.range::INT AS j, (x.range - 12) * 0.0132::DOUBLE AS a, (y.range - 12) * 0.0132::DOUBLE AS b FROM range(25) x, range(25) y), {geos('x', -137.0, '')}, {geos('y', -75.0, '_y')} SELECT i, j, {cols('lon', 'lat', 'lon_y', 'lat_y')} FROM g JOIN g_y USING (i, j)",
     "ivw_fusion": f"WITH {SMALL_BOTH} SELECT a.t + 1 AS t, a.lat_i * 12 + a.lon_i + 1 AS site, {r6('a.aod / (1 + 0.01) + b.aod * (0.01 / (1 + 0.01))')} AS y FROM images a JOIN images b ON a.sat = 0 AND b.sat = 1 AND a.t = b.t AND a.lat_i = b.lat_i AND a.lon_i = b.lon_i WHERE a.aod IS NOT NULL AND b.aod IS NOT NULL",
+    "generator_matrix": f"WITH {GENERATOR_FULL} SELECT i, j, {cols('v')} FROM entries",
+    "kalman_two_state": f"""WITH RECURSIVE {TWO_STATE} SELECT sat AS chain, kind, t AS time_step, unnest([1, 1, 1, 2, 2, 2]) AS i, unnest([0, 1, 2, 0, 1, 2]) AS j, unnest([{r6('m1')}, {r6('a')}, {r6('b')}, {r6('m2')}, {r6('b')}, {r6('d')}]) AS value FROM told""",
+    "obs_stack": f"""WITH {SMALL_BOTH}, {BASIS}, own AS (SELECT sat, t + 1 AS t, lat_i * 12 + lon_i + 1 AS site, aod AS y, row_number() OVER (PARTITION BY t ORDER BY sat, lat_i, lon_i)::INT AS row FROM images WHERE aod IS NOT NULL)
+  SELECT t, row, sat, site, {cols('y')}, {r6('CASE sat WHEN 0 THEN 0.05::DOUBLE ELSE 0.08::DOUBLE END')} AS variance, count(*) AS entries, round(sum(v), 9) AS sum_v FROM own JOIN basis USING (site) GROUP BY ALL""",
+    "residual_sums": f"""WITH {SMALL_BOTH}, {BASIS}, {STATE}, fit AS (SELECT time_step, site, sum(v * value) AS f FROM basis JOIN state ON col = coef_idx GROUP BY ALL)
+  SELECT sat, count(*) AS n, {r6('sum((aod - f) * (aod - f))')} AS sum_sq FROM images JOIN fit ON time_step = t + 1 AND site = lat_i * 12 + lon_i + 1 WHERE aod IS NOT NULL GROUP BY sat""",
+    "state_residuals": f"""WITH {STATE}, {TRANSITION}, big AS (SELECT i, j, v FROM trans UNION ALL SELECT range::INT, range::INT + 16, 1.0::DOUBLE FROM range(1, 17) UNION ALL SELECT range::INT + 16, range::INT + 16, 1.0::DOUBLE FROM range(1, 17)),
+  said AS (SELECT time_step + 1 AS time_step, i AS coef_idx, sum(v * value) AS said FROM big JOIN state ON j = coef_idx GROUP BY ALL) SELECT time_step, coef_idx, round(value - said, 9) + 0.0 AS value FROM state JOIN said USING (time_step, coef_idx)""",
+    "matrix_helpers": f"""WITH {TRANSITION}, square AS (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM trans a JOIN trans b ON a.j = b.i GROUP BY a.i, b.j), every AS (SELECT i, j, 2 * v AS v FROM trans UNION ALL SELECT range::INT, range::INT, 1.0::DOUBLE FROM range(1, 17) UNION ALL SELECT i, j, -0.3::DOUBLE * v FROM square)
+  SELECT i, j, {r6('sum(v)')} AS v FROM every GROUP BY i, j""",
+    "clip_field": f"WITH {SMALL} SELECT t, lat_i, lon_i, {r6('CASE WHEN aod IS NOT NULL THEN greatest(aod - 0.45, 0) END')} AS aod FROM images",
+    "coordinate_rounding": "SELECT event_id, round(value / 7.0::DOUBLE, 2) + 0.0 AS lat, round(value / -3.0::DOUBLE, 2) + 0.0 AS lon FROM events",
+    "scene_listing": """WITH keys AS (SELECT printf('product-%d/2024/%03d/%02d/OR_product-%d_s%d.%s', user_id % 3, user_id % 5 + 1, event_id % 24, user_id % 3, event_id, CASE WHEN event_id % 7 = 0 THEN 'tmp' ELSE 'nc' END) AS path, trunc(value)::BIGINT AS length, event_id % 24 AS h, user_id AS u, event_id AS e FROM events)
+  SELECT path, length, h::INT AS hour FROM keys WHERE u % 3 = 1 AND u % 5 = 1 AND h BETWEEN 18 AND 22 AND e % 7 <> 0""",
     "kalman_scalar": f"""WITH RECURSIVE {SMALL_BOTH}, obs AS (SELECT sat, t + 1 AS t, {r6('avg(aod)')} AS y FROM images WHERE aod IS NOT NULL GROUP BY ALL), run AS (
   SELECT DISTINCT sat, 0 AS t, 0.1::DOUBLE AS m, 0.01::DOUBLE AS c FROM obs
   UNION ALL

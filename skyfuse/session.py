@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,3 +48,22 @@ def ship(spark: SparkSession) -> None:
                     out.write(path, os.path.join("skyfuse", os.path.relpath(path, root)))
     sc.addPyFile(target)
     _shipped.add(sc.applicationId)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share (spark.checkpoint.dir). Where
+    it is unset, as in tests on one machine, a temporary one takes its place."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="skyfuse-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder: what is used more than once is worked out once."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/skyfuse/{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -145,10 +145,11 @@ class _PointReader(DataSourceReader):
         return [InputPartition(p) for p in self.paths]
 
     def read(self, partition):
+        import pyarrow as pa
+
         with open(partition.value, "rb") as f:
             points = decode_points(f.read())
-        for row in points.itertuples(index=False):
-            yield (partition.value, float(row.lat), float(row.lon), float(row.aod))
+        yield pa.RecordBatch.from_pandas(points.assign(path=partition.value)[["path", "lat", "lon", "aod"]], preserve_index=False)
 
 
 class _PointWriter(DataSourceWriter):
@@ -188,9 +189,120 @@ def write_matrix(wide: DataFrame, row: str, path: str, missing: str = "NaN") ->
     out.coalesce(1).write.mode("overwrite").option("header", "true").csv(path)
 
 
-def write_long(df: DataFrame, path: str, order: list[str], missing: str = "NA") -> None:
-    """A long table as CSV in the given order."""
-    df.orderBy(*order).coalesce(1).write.mode("overwrite").option("header", "true").option("nullValue", missing).csv(path)
+def write_long(df: DataFrame, path: str, order: list[str], missing: str = "NA", hidden: tuple = ()) -> None:
+    """A long table as CSV in the given order, in files by ranges of it; names in hidden only order."""
+    out = df.repartitionByRange(*order).sortWithinPartitions(*order).drop(*hidden)
+    out.write.mode("overwrite").option("header", "true").option("nullValue", missing).csv(path)
+
+
+def two_decimals(df: DataFrame, *names: str) -> DataFrame:
+    """Columns as a file of coordinates holds them."""
+    return df.withColumns({c: F.round(F.col(c), 2) + 0.0 for c in names})
+
+
+def write_coords(coords: DataFrame, value: str, path: str) -> None:
+    """(y, x, value) as a white-space matrix of two decimals, a line for each y; missing values as nan.
+    A line is one row; lines go to as many files as there are partitions, in order."""
+    line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", value))), lambda r: F.coalesce(F.format_string("%.2f", r[value]), F.lit("nan"))), " ")
+    lines = coords.groupBy("y").agg(line.alias("value"))
+    lines.repartitionByRange("y").sortWithinPartitions("y").select("value").write.mode("overwrite").text(path)
+
+
+def _digits(c, n: int = 6):
+    """A number with n significant digits, as streams print by default; missing: nan."""
+    return F.when(c.isNull(), F.lit("nan")).otherwise(F.trim(F.regexp_replace(F.format_string(f"%.{n - 1}e", c), r"e([+-])(\d+)$", "e$1$2")))
+
+
+def write_short(wide: DataFrame, row: str, path: str, header: bool = True, digits: int = 6) -> None:
+    """A matrix or vector as CSV with so many significant digits, in row order, in files by ranges of rows."""
+    names = [c for c in wide.columns if c != row]
+    out = wide.repartitionByRange(row).sortWithinPartitions(row).select(*[_digits(F.col(c).cast("double"), digits).alias(c) for c in names])
+    out.write.mode("overwrite").option("header", str(header).lower()).csv(path)
+
+
+def write_velocity(field: DataFrame, path: str) -> None:
+    """long, lat, v_x, v_y in cell order."""
+    write_long(field.select("lat_i", "lon_i", F.col("lon").alias("long"), "lat", "v_x", "v_y"), path, ["lat_i", "lon_i"], "NaN", hidden=("lat_i", "lon_i"))
+
+
+def write_diffusivity(field: DataFrame, path: str) -> None:
+    """long, lat, K, dK_dx, dK_dy in cell order."""
+    write_long(field.select("lat_i", "lon_i", F.col("lon").alias("long"), "lat", "K", "dK_dx", "dK_dy"), path, ["lat_i", "lon_i"], "NaN", hidden=("lat_i", "lon_i"))
+
+
+def write_states(states: DataFrame, path: str) -> None:
+    """time_step, coef_idx, value in that order."""
+    write_long(states.select("time_step", "coef_idx", "value"), path, ["time_step", "coef_idx"])
+
+
+def write_counts(counts: DataFrame, path: str) -> None:
+    """t, n1, n2: observations of either source at each step."""
+    write_long(counts.select("t", "n1", "n2"), path, ["t"])
+
+
+def write_timings(stages: DataFrame, path: str) -> None:
+    """section, unit, value."""
+    stages.select("section", "unit", "value").coalesce(1).write.mode("overwrite").option("header", "true").csv(path)
+
+
+def write_errors(summary: DataFrame, path: str) -> None:
+    """A row per step of mean errors with eight decimals; missing ones as NA."""
+    numbers = [c for c in summary.columns if c != "time_step"]
+    out = summary.select("time_step", *[F.coalesce(F.format_string("%.8f", F.col(c)), F.lit("NA")).alias(c) for c in numbers])
+    write_long(out, path, ["time_step"])
+
+
+def read_flat(spark: SparkSession, path: str, cells: int) -> DataFrame:
+    """(step from 1, site from 1, value) of a file without names that holds images of so many cells
+    one after the other, a number or a line of numbers a line; what is no number is left out."""
+    ship(spark)
+
+    def run(batches):
+        for batch in batches:
+            for text in batch["content"]:
+                v = pd.to_numeric(pd.Series(bytes(text).decode().replace("\n", ",").split(",")).str.strip(), errors="coerce").dropna().to_numpy(float)
+                at = np.arange(len(v))
+                yield pd.DataFrame({"step": at // cells + 1, "site": at % cells + 1, "value": v})
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "step int, site int, value double")
+
+
+def list_scenes(objects: DataFrame, product: str, year: int, day: int, hours) -> DataFrame:
+    """(path, length, hour) of a listing (path, length) that are scenes of a product, on a day of a year, in
+    some hours, under product/year/day/hour/. Any file listing of Spark's makes such a table."""
+    part = F.split("path", "/")
+    hour = part[3].try_cast("int")
+    own = (F.size(part) == 5) & (part[0] == product) & (part[1].try_cast("int") == year) & (part[2].try_cast("int") == day)
+    return objects.where(own & hour.isin(list(hours)) & F.col("path").endswith(".nc")).select("path", "length", hour.alias("hour"))
+
+
+def list_objects(spark: SparkSession, path: str, pattern: str = "*.nc") -> DataFrame:
+    """(path, length) of the files below a path, in any store that Spark reads; contents are not read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path).select("path", "length")
+
+
+def copy_files(spark: SparkSession, source: str, rows: DataFrame, target: str, least_bytes: int = 100_000) -> dict[str, int]:
+    """Copy the files that rows (path, below source) name to the same names below target, and say how many were
+    copied, were there, or failed. Whole files are not copied again, so it can be repeated. The driver does it,
+    one file after the other, by the file systems that Spark knows: a hundred files or so a run."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(target)
+    system = there.getFileSystem(spark._jsc.hadoopConfiguration())
+    counts = {"copied": 0, "present": 0, "failed": 0}
+    for r in rows.select("path").distinct().toLocalIterator():  # names, one partition at a time; contents go from store to store
+        origin, goal = spark._jvm.org.apache.hadoop.fs.Path(f"{source}/{r['path']}"), spark._jvm.org.apache.hadoop.fs.Path(f"{target}/{r['path']}")
+        try:
+            if system.exists(goal) and system.getFileStatus(goal).getLen() > least_bytes:
+                counts["present"] += 1
+                continue
+            part = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/{r['path']}.part")
+            home = origin.getFileSystem(spark._jsc.hadoopConfiguration())
+            spark._jvm.org.apache.hadoop.fs.FileUtil.copy(home, origin, system, part, False, True, spark._jsc.hadoopConfiguration())
+            system.delete(goal, False)
+            system.rename(part, goal)
+            counts["copied"] += 1
+        except Exception:  # noqa: BLE001 a bad file is counted, the others go on
+            counts["failed"] += 1
+    return counts
 
 
 def copy_new(listing: DataFrame, present: DataFrame, least_bytes: int = 100_000) -> DataFrame:

@@ -46,17 +46,25 @@ def last_known(points: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     return rows.groupBy("lat_i", "lon_i").applyInPandasWithState(_latest, "lat_i int, lon_i int, ts timestamp, aod double", "ts long, aod double", "update", GroupStateTimeout.NoTimeout)
 
 
-def online_filter(obs: DataFrame, basis: np.ndarray, g: np.ndarray, w: np.ndarray, variance: float, m0: np.ndarray, c0: np.ndarray) -> DataFrame:
-    """The filter of each domain, a step for each new t: obs (domain, t, site, y);
-    emits (domain, t, coef_idx, value). A domain's moments are its state."""
+def online_filter(obs: DataFrame, basis: np.ndarray, g: np.ndarray, w: np.ndarray, variance: float | dict, m0: np.ndarray, c0: np.ndarray, first: int = 1) -> DataFrame:
+    """The filter of each domain, a step for each new t: obs (domain, t, site, y), and sat where
+    variance is by source; emits (domain, t, coef_idx, value) for every step from `first` on.
+    Steps that nothing was observed in are predicted through, as in the batch filter. A step that
+    comes after a later one was filtered is left out; one step's rows come in one batch. A
+    domain's moments and its last step are its state."""
 
     def run(key, batches, state):
-        m, c = pickle.loads(state.get[0]) if state.exists else (m0, c0)
+        m, c, last = pickle.loads(state.get[0]) if state.exists else (m0, c0, first - 1)
         rows = pd.concat(list(batches))
-        for t, now in rows.groupby("t"):
-            now = now.sort_values("site")
-            _, _, m, c = dense.filter_step(m, c, g, w, basis[now["site"].to_numpy(int) - 1], now["y"].to_numpy(float), np.full(len(now), variance))
-            yield pd.DataFrame({"domain": key[0], "t": int(t), "coef_idx": np.arange(1, len(m) + 1), "value": m})
-        state.update((pickle.dumps((m, c)),))
+        order = ["sat", "site"] if isinstance(variance, dict) else ["site"]
+        for t, now in rows[rows["t"] > last].groupby("t"):
+            now = now.sort_values(order)
+            v = now["sat"].map(variance).to_numpy(float) if isinstance(variance, dict) else np.full(len(now), variance)
+            for step in range(last + 1, int(t) + 1):
+                seen = now if step == t else now.iloc[:0]
+                _, _, m, c = dense.filter_step(m, c, g, w, basis[seen["site"].to_numpy(int) - 1], seen["y"].to_numpy(float), v[: len(seen)])
+                yield pd.DataFrame({"domain": key[0], "t": step, "coef_idx": np.arange(1, len(m) + 1), "value": m})
+            last = int(t)
+        state.update((pickle.dumps((m, c, last)),))
 
     return obs.groupBy("domain").applyInPandasWithState(run, "domain int, t int, coef_idx int, value double", "moments binary", "append", GroupStateTimeout.NoTimeout)
