@@ -203,7 +203,7 @@ def two_decimals(df: DataFrame, *names: str) -> DataFrame:
 def write_coords(coords: DataFrame, value: str, path: str) -> None:
     """(y, x, value) as a white-space matrix of two decimals, a line for each y; missing values as nan.
     A line is one row; lines go to as many files as there are partitions, in order."""
-    line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", value))), lambda r: F.coalesce(F.format_string("%.2f", r[value]), F.lit("nan"))), " ")
+    line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", value))), lambda r: F.when(r[value].isNull(), "nan").otherwise(F.format_string("%.2f", r[value]))), " ")
     lines = coords.groupBy("y").agg(line.alias("value"))
     lines.repartitionByRange("y").sortWithinPartitions("y").select("value").write.mode("overwrite").text(path)
 
@@ -248,7 +248,7 @@ def write_timings(stages: DataFrame, path: str) -> None:
 def write_errors(summary: DataFrame, path: str) -> None:
     """A row per step of mean errors with eight decimals; missing ones as NA."""
     numbers = [c for c in summary.columns if c != "time_step"]
-    out = summary.select("time_step", *[F.coalesce(F.format_string("%.8f", F.col(c)), F.lit("NA")).alias(c) for c in numbers])
+    out = summary.select("time_step", *[F.when(F.col(c).isNotNull(), F.format_string("%.8f", F.col(c))).alias(c) for c in numbers])
     write_long(out, path, ["time_step"])
 
 

@@ -139,7 +139,7 @@ def read_scenes(spark: SparkSession, path: str, name: str = "AOD") -> DataFrame:
 
 
 def bad_scenes(spark: SparkSession, path: str, name: str = "AOD") -> DataFrame:
-    """(path, error) of those that are not."""
+    """(path, error) of those that are not. Files without a byte are in neither: Spark does not hand them on."""
     return _scenes(spark, path, name).where("error IS NOT NULL").select("path", "error")
 
 

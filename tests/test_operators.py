@@ -186,15 +186,152 @@ def test_lattice(spark):
     assert sorted({int(60 / 25 * k) - 1 for k in range(1, 26)}) == [r["idx"] for r in grid.lattice(spark, 60, 25).orderBy("idx").collect()]
 
 
-def test_generator_forms_agree(spark):
+def plain_entry(rows, n, delta, i, j, sign):
+    """One entry of the generator by its definition: a sum over the sites of a test function and an image."""
+    omega = spectral.omega_rows(n)
+    one, two = [r[2:] for r in omega if r[0] == 1], [r[2:] for r in omega if r[0] == 2]
+    kinds = [("c1", k) for k in one] + [("c2", k) for k in two] + [("s2", k) for k in two]
+    (ik, m), (jk, k) = kinds[i], kinds[j]
+    total = 0.0
+    for _, _, x, y, vx, vy, kk, kx, ky in rows:
+        def parts(f):
+            th = 2 * math.pi * (x * f[0] + y * f[1])
+            lap, slope = -4 * math.pi**2 * (f[0] ** 2 + f[1] ** 2) * kk, 2 * math.pi * (kx * f[0] + ky * f[1])
+            return math.cos(th), math.sin(th), 2 * math.pi * (vx * f[0] + vy * f[1]), lap * math.cos(th) - slope * math.sin(th), lap * math.sin(th) + sign * slope * math.cos(th)
+
+        mc, ms, mv, _, mb = parts(m)
+        kc, ks, kv, ka, kb = parts(k)
+        if ik == jk == "s2":
+            total += -mv * ms * kc + mb * ks
+        else:
+            total += (ms if ik == "s2" else mc) * (-kv * kc + kb if jk == "s2" else kv * ks + ka)
+    return total * delta**2 * (1 if jk == "c1" else 2) * (2 if ik == "c1" and i > 0 else 1)
+
+
+@pytest.mark.parametrize("strict", [True, False])
+def test_generator_by_definition(spark, strict):
     rng = np.random.default_rng(7)
     nr, n = 6, 4
-    rows = [(s + 1, (s % nr) / nr, (s // nr) / nr, *map(float, rng.normal(size=5))) for s in range(nr * nr)]
-    design = spark.createDataFrame(rows, "site int, x double, y double, vx double, vy double, K double, dKx double, dKy double")
-    got = np.zeros((n * n, n * n))
-    for r in spectral.generator_matrix(design, n, 1 / nr).collect():
-        got[r["i"] - 1, r["j"] - 1] = r["v"]
-    np.testing.assert_allclose(got, spectral.generator_dense(design.toPandas(), n, 1 / nr), atol=1e-10)
+    rows = [(d, s + 1, (s % nr) / nr, (s // nr) / nr, *map(float, rng.normal(size=5))) for d in (1, 2) for s in range(nr * nr)]
+    design = spark.createDataFrame(rows, "domain int, site int, x double, y double, vx double, vy double, K double, dKx double, dKy double").repartition(5)
+    got = {(r["domain"], r["i"], r["j"]): r["v"] for r in spectral.generator_matrix(design, n, 1 / nr, strict_reference=strict).collect()}
+    assert len(got) == 2 * n**4
+    for d in (1, 2):
+        for i, j in [(0, 0), (0, 7), (1, 3), (2, 12), (5, 1), (6, 6), (7, 15), (11, 0), (12, 5), (13, 13), (15, 11)]:
+            assert got[d, i + 1, j + 1] == pytest.approx(plain_entry([r for r in rows if r[0] == d], n, 1 / nr, i, j, -1 if strict else 1), abs=1e-9)
+
+
+def eliminated(n, x, z, xx, xz, zz):
+    """Whether elimination with the largest pivot of each column meets one below 1e-12."""
+    a = [[n, x, z], [x, xx, xz], [z, xz, zz]]
+    for k in range(3):
+        r = max(range(k, 3), key=lambda i: (abs(a[i][k]), -i))
+        a[k], a[r] = a[r], a[k]
+        if abs(a[k][k]) < 1e-12:
+            return True
+        for i in range(k + 1, 3):
+            f = a[i][k] / a[k][k]
+            a[i] = [p - f * q for p, q in zip(a[i], a[k], strict=True)]
+    return False
+
+
+def test_flat_windows_are_those_of_an_elimination(spark):
+    rng, rows = np.random.default_rng(17), []
+    for _ in range(400):
+        size, scale = int(rng.integers(10, 200)), 10.0 ** rng.uniform(-9, 2)
+        gx = scale * (rng.normal(size=size) + rng.choice([0, 5]))
+        gz = rng.choice([0.0, 1.0]) * gx * rng.normal() + 10.0 ** rng.uniform(-10, 1) * rng.normal(size=size) * rng.choice([0.0, 1.0])
+        rows.append((float(size), gx.sum(), gz.sum(), (gx * gx).sum(), (gx * gz).sum(), (gz * gz).sum()))
+    rows += [(20.0, 0.0, 0.0, 0.0, 0.0, 0.0), (20.0, 2.0, 0.0, 0.2, 0.0, 0.0), (10.0, 100.0, 30.0, 1000.5, 300.2, 91.0), (10.0, 30.0, 100.0, 91.0, 300.2, 1000.5)]
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(rows)], "i int, n double, x double, z double, xx double, xz double, zz double")
+    got = {r["i"]: r["flat"] for r in df.select("i", flow.flat_window(*[F.col(c) for c in ("n", "x", "z", "xx", "xz", "zz")]).alias("flat")).collect()}
+    near = lambda r: any(eliminated(*[v * (1 + e) for v in r]) != eliminated(*r) for e in (1e-6, -1e-6, 1e-9))
+    want = {i: eliminated(*r) for i, r in enumerate(rows)}
+    # a determinant that rounding alone decides is no test of either
+    clear = [i for i, r in enumerate(rows) if not near(r) and abs(r[3] * r[5] - r[4] ** 2) > 1e-9 * max(r[3] * r[5], 1e-300) or r[4] == 0]
+    assert len(clear) > 150 and {i: got[i] for i in clear} == {i: want[i] for i in clear} and len({want[i] for i in clear}) == 2
+
+
+@pytest.mark.parametrize("most", [1 << 16, 10])
+def test_percentile_is_exact(spark, monkeypatch, most):
+    monkeypatch.setattr(compare, "SORTED", most)
+    rng = np.random.default_rng(18)
+    for values in (rng.normal(size=3000), np.round(rng.normal(size=2000), 1), np.full(500, 2.5), np.array([1.0]), 10.0 ** rng.uniform(-8, 8, 1500), np.array([])):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "x double").repartition(4)
+        for p in (0.0, 0.5, 0.98, 1.0):
+            got = compare.percentile(df, F.col("x"), p).head()[0]
+            assert got is None if not len(values) else got == pytest.approx(np.quantile(values, p), rel=1e-12)
+
+
+def test_a_constant_column_has_no_correlation(spark):
+    df = spark.createDataFrame([(0.1, float(i)) for i in range(7)], "a double, b double")
+    assert df.agg(compare.pearson(F.col("a"), F.col("b"))).head()[0] is None
+    small = spark.createDataFrame([(1.0 + i * 1e-13, float(i)) for i in range(7)], "a double, b double")
+    assert small.agg(compare.pearson(F.col("a"), F.col("b"))).head()[0] == pytest.approx(1.0, abs=0.2)
+
+
+def chain_obs(spark, steps=(1, 2, 4), chains=1):
+    rng = np.random.default_rng(19)
+    rows = [(c, s, t, site, float(rng.normal())) for c in range(chains) for t in steps for s in (0, 1) for site in (1, 2, 3)]
+    return rows, spark.createDataFrame(rows, "chain int, sat int, t int, site int, y double")
+
+
+BASIS = np.array([[1.0, 0.2], [0.3, 1.0], [-0.5, 0.7]])
+G, W = np.array([[0.9, 0.1], [0.0, 0.8]]), 0.1 * np.eye(2)
+
+
+def test_moments_of_the_filter(spark):
+    rows, df = chain_obs(spark)
+    got = {(r["kind"], r["time_step"], r["i"], r["j"]): r["value"] for r in statespace.kalman_moments(df, BASIS, G, W, {0: 0.3, 1: 0.6}, np.zeros(2), np.eye(2), 4).collect()}
+    m, c = np.zeros(2), np.eye(2)
+    for t in range(1, 6):
+        m, c = G @ m, G @ c @ G.T + W
+        assert [got["predicted", t, i + 1, 0] for i in (0, 1)] == pytest.approx(m) and [got["predicted", t, i + 1, j + 1] for i in (0, 1) for j in (0, 1)] == pytest.approx(c.ravel())
+        now = sorted((s, site, y) for _, s, u, site, y in rows if u == t)
+        for s, site, y in now:  # one observation after the other
+            f, v = BASIS[site - 1], {0: 0.3, 1: 0.6}[s] + 1e-8
+            gain = c @ f / (f @ c @ f + v)
+            m, c = m + gain * (y - f @ m), c - np.outer(gain, f @ c)
+        if t < 5:
+            assert [got["filtered", t, i + 1, 0] for i in (0, 1)] == pytest.approx(m) and got["filtered", t, 1, 2] == pytest.approx(c[0, 1])
+    stale = {(r["time_step"], r["i"], r["j"]): r["value"] for r in statespace.kalman_moments(df, BASIS, G, W, {0: 0.3, 1: 0.6}, np.zeros(2), np.eye(2), 4, strict_reference=True).where("kind = 'predicted'").collect()}
+    assert stale[5, 1, 1] == pytest.approx(got["predicted", 5, 1, 1] - 0.1)
+
+
+def test_backward_paths_have_the_smoothed_mean(spark):
+    rows, df = chain_obs(spark, (1, 2, 3), 1)
+    every = df.drop("chain").withColumn("chain", F.explode(F.sequence(F.lit(0), F.lit(599))))
+    paths = statespace.backward_sample(every, BASIS, G, W, {0: 0.3, 1: 0.6}, np.zeros(2), np.eye(2), 3)
+    assert sorted(map(tuple, paths.where("chain < 3").collect())) == sorted(map(tuple, statespace.backward_sample(every.where("chain < 3"), BASIS, G, W, {0: 0.3, 1: 0.6}, np.zeros(2), np.eye(2), 3).collect()))
+    got = {(r["time_step"], r["coef_idx"]): r["m"] for r in paths.groupBy("time_step", "coef_idx").agg(F.avg("value").alias("m")).collect()}
+    # all states at once: a Gaussian, conditioned on all observations
+    p, blocks = [G @ G.T + W], []
+    for _ in range(2):
+        p.append(G @ p[-1] @ G.T + W)
+    cov = np.block([[np.linalg.matrix_power(G, max(i - j, 0)) @ p[min(i, j)] @ np.linalg.matrix_power(G, max(j - i, 0)).T for j in range(3)] for i in range(3)])
+    h = np.array([np.concatenate([BASIS[site - 1] * (k == t - 1) for k in range(3)]) for _, _, t, site, _ in rows])
+    v = np.diag([0.3 if s == 0 else 0.6 for _, s, *_ in rows])
+    mean = cov @ h.T @ np.linalg.solve(h @ cov @ h.T + v, [r[4] for r in rows])
+    for t in range(3):
+        for i in range(2):
+            assert got[t + 1, i + 1] == pytest.approx(mean[2 * t + i], abs=0.08)
+
+
+def test_residual_tables(spark):
+    rows, df = chain_obs(spark, (1, 2))
+    path = {(t, i): 0.1 * t + i for t in (1, 2) for i in (1, 2)}
+    states = spark.createDataFrame([(t, i, float(v)) for (t, i), v in path.items()], "time_step int, coef_idx int, value double")
+    basis = spark.createDataFrame([(s + 1, c + 1, float(BASIS[s, c])) for s in range(3) for c in range(2)], "site int, col int, v double")
+    got = {r["sat"]: (r["n"], r["sum_sq"]) for r in spectral.residuals(df, basis, states).collect()}
+    for s in (0, 1):
+        own = [(y - sum(BASIS[site - 1][i - 1] * path[t, i] for i in (1, 2))) ** 2 for _, sat, t, site, y in rows if sat == s]
+        assert got[s] == (len(own), pytest.approx(sum(own)))
+
+
+def test_strict_recipe_reaches_the_sampler(spark):
+    _, df = chain_obs(spark, (1, 2, 3))
+    runs = [sorted(map(tuple, statespace.gibbs_ffbs(df, BASIS, G, np.zeros(2), np.eye(2), 3, 3, strict_reference=s).collect())) for s in (False, True, True)]
+    assert runs[1] == runs[2] != runs[0]
 
 
 def test_expm():
