@@ -31,6 +31,7 @@ ORDINARY = (
     "para como los una del con desarrollo gobierno informacion"
 )
 SAMPLES = 2000
+CHUNK = 64
 
 
 def labelled_samples(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
@@ -64,22 +65,68 @@ def train(samples: DataFrame) -> list[float]:
     return out
 
 
+def _scan(items: Column, start: Column, step, kind: str, bind=None) -> Column:
+    """Outputs, of type `kind`, of step(state, item) -> (state, output) along an array. Outputs are
+    gathered in arrays of CHUNK: appending to one array copies it each time. With bind, step
+    also gets bind(state, items), worked out once for CHUNK items."""
+    none, lists = F.array().cast(f"array<{kind}>"), F.array().cast(f"array<array<{kind}>>")
+
+    def some(acc, chunk):
+        def inner(bound):
+            def one(got, x):
+                state, out = step(got["state"], x, bound) if bind else step(got["state"], x)
+                return F.struct(state.alias("state"), F.concat(got["out"], F.array(out)).alias("out"))
+
+            return F.aggregate(chunk, F.struct(acc["state"].alias("state"), none.alias("out")), one)
+
+        done = F.transform(F.array(bind(acc["state"], chunk) if bind else F.lit(0)), inner)
+        return F.element_at(F.transform(done, lambda r: F.struct(r["state"].alias("state"), F.concat(acc["out"], F.array(r["out"])).alias("out"))), 1)
+
+    def scan(held):  # one variable: what makes the array is worked out once, not for each chunk
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(held), F.lit(1)) - 1) / CHUNK).cast("int")), lambda i: F.slice(held, i * CHUNK + 1, F.lit(CHUNK)))
+        return F.flatten(F.aggregate(chunks, F.struct(start.alias("state"), lists.alias("out")), some, lambda acc: acc["out"]))
+
+    return F.element_at(F.transform(F.array(items), scan), 1)
+
+
+SPAN = "struct<start:long,kind:int,end:long>"
+
+
 def _matches(text: Column, pattern: str, kind: str, least: int = 0, group: int = 0, keep=None) -> Column:
     """Spans (start, place of the kind, end) of a pattern's matches, in order."""
     hits = F.regexp_extract_all(text, F.lit(pattern), 0)
     own = F.regexp_extract_all(text, F.lit(pattern), group) if group else hits
     both = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), hits.alias("hit"), own.alias("own"))
-    empty = F.array().cast("array<struct<start:long,kind:int,end:long>>")
 
-    def step(acc, x):
-        start = acc["at"] + F.length(x["gap"])
+    def step(at, x):
+        start = at + F.length(x["gap"])
         end = start + F.length(x["hit"])
         good = F.length(x["own"]) >= least if keep is None else keep(x["own"])
         span = F.struct(start.cast("long").alias("start"), F.lit(KINDS.index(kind)).alias("kind"), end.cast("long").alias("end"))
-        return F.struct(F.coalesce(end, acc["at"]).cast("long").alias("at"), F.when(x["hit"].isNotNull() & good, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+        return F.coalesce(end, at).cast("long"), F.when(x["hit"].isNotNull() & good, span)
+
+    found = F.filter(_scan(both, F.lit(0).cast("long"), step, SPAN), lambda x: x.isNotNull())
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(f"array<{SPAN}>"))
+
+
+def _apart(base: Column, more: Column) -> Column:
+    """Both lists in order, without spans of the second that overlap one of the first: none of
+    the first may reach beyond where such a span starts, from before, or start before it ends."""
+    markov, flagged = KINDS.index("markov"), "struct<x:" + SPAN + ",good:boolean>"
+    every = F.array_sort(F.concat(base, more))
 
-    found = F.aggregate(both, F.struct(F.lit(0).cast("long").alias("at"), empty.alias("spans")), step, lambda acc: acc["spans"])
-    return F.when(text.rlike(pattern), found).otherwise(empty)
+    def before(end, x):
+        good = (x["kind"] != markov) | (x["start"] >= end)
+        return F.when(x["kind"] != markov, F.greatest(end, x["end"])).otherwise(end), F.struct(x.alias("x"), good.alias("good"))
+
+    def after(start, y):
+        x = y["x"]
+        good = y["good"] & ((x["kind"] != markov) | (x["end"] <= start))
+        return F.when(x["kind"] != markov, F.least(start, x["start"])).otherwise(start), F.struct(x.alias("x"), good.alias("good"))
+
+    once = F.reverse(_scan(every, F.lit(0).cast("long"), before, flagged))
+    twice = _scan(once, F.lit(2**62).cast("long"), after, flagged)
+    return F.when((F.size(base) == 0) | (F.size(more) == 0), every).otherwise(F.reverse(F.transform(F.filter(twice, lambda y: y["good"]), lambda y: y["x"])))
 
 
 def _llr(token: Column, model: list[float]) -> Column:
@@ -98,15 +145,15 @@ def secrets(docs: DataFrame, samples: DataFrame | None = None, margin: float = 0
 
     docs needs text; all columns stay, but one named spans gives way. Null and empty
     texts have no spans; repeated rows are scanned alike; an empty table gives an
-    empty one."""
+    empty one. The cost of a text grows with its length, and little faster with its
+    number of matches; very long texts are scanned whole."""
     model = train(labelled_samples(docs.sparkSession) if samples is None else samples)
     text = F.coalesce(F.col("text"), F.lit(""))
     base = F.concat(_matches(text, ASSIGN, "assign", 6, 2), _matches(text, ACCESS, "access"), _matches(text, HEX, "hex"))
     found = docs.drop("spans").withColumn("__base", base).withColumn("__more", _matches(text, LONG, "markov", keep=lambda t: _llr(t, model) >= margin))
-    apart = F.filter("__more", lambda x: ~F.exists("__base", lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"])))
     names = F.array(*[F.lit(k) for k in KINDS])
     named = lambda x: F.struct(F.element_at(names, x["kind"] + 1).alias("kind"), x["start"].alias("start"), x["end"].alias("end"))
-    return found.withColumn("spans", F.transform(F.array_sort(F.concat("__base", apart)), named)).drop("__base", "__more")
+    return found.withColumn("spans", F.transform(_apart(F.col("__base"), F.col("__more")), named)).drop("__base", "__more")
 
 
 def redact(scanned: DataFrame) -> DataFrame:
@@ -114,13 +161,17 @@ def redact(scanned: DataFrame) -> DataFrame:
     angle brackets; spans that overlap become one."""
     text = F.coalesce(F.col("text"), F.lit(""))
 
-    def step(acc, x):
-        new = x["start"] >= acc["at"]
-        between = text.substr((acc["at"] + 1).cast("int"), F.greatest(x["start"] - acc["at"], F.lit(0)).cast("int"))
-        return F.struct(F.when(new, F.concat(acc["out"], between, F.lit("<"), x["kind"], F.lit(">"))).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], x["end"]).alias("at"))
+    def part(at, chunk):
+        """The text that some spans lie in: places far into a text take long to find."""
+        return F.struct(at.alias("at"), text.substr((at + 1).cast("int"), (F.array_max(F.transform(chunk, lambda x: x["end"])) - at).cast("int")).alias("text"))
+
+    def step(at, x, near):
+        between = near["text"].substr((at - near["at"] + 1).cast("int"), F.greatest(x["start"] - at, F.lit(0)).cast("int"))
+        return F.greatest(at, x["end"]), F.when(x["start"] >= at, F.concat(between, F.lit("<"), x["kind"], F.lit(">"))).otherwise("")
 
-    done = F.aggregate("spans", F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")), step, lambda acc: F.concat(acc["out"], text.substr((acc["at"] + 1).cast("int"), F.length(text))))
-    return scanned.withColumn("text", F.when(F.size("spans") > 0, done).otherwise(F.col("text")))
+    pieces = _scan(F.col("spans"), F.lit(0).cast("long"), step, "string", part)
+    rest = text.substr((F.array_max(F.transform("spans", lambda x: x["end"])) + 1).cast("int"), F.length(text))
+    return scanned.withColumn("text", F.when(F.size("spans") > 0, F.concat(F.array_join(pieces, ""), rest)).otherwise(F.col("text")))
 
 
 def op7_secrets(spark, sf_dir):
