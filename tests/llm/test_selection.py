@@ -2,7 +2,9 @@
 
 import hashlib
 import math
+import random
 import re
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -48,6 +50,34 @@ def test_mix(docs, rows, none, crowded):
     assert sorted((r["doc_id"], r["copies"] * len((r["text"] or "").encode().split())) for r in mixed.where("doc_id is not null").collect()) == sorted((r[0], r[4]) for r in want if r[0] is not None)
 
 
+MIX = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.mark.parametrize("small", [1 << 20, 3])
+def test_mix_of_equal_rows_and_crowded_keys(spark, monkeypatch, small):
+    monkeypatch.setattr(mixing, "SORTED", small)
+    rows = [(5, "one two three four", "en", "a", 0)] * 10 + [(6, "x", "en", "b", 0)] * 3 + [(None, "p q", "en", "c", 0)] * 7 + [(9, "", "en", "c", 0)] * 4
+    rows += [(100 + i, "two words", "en", "d", 0) for i in range(400)]
+    df = spark.createDataFrame(rows, MIX).repartition(5)
+    want = by_sql(rows)
+    near(plan(df), want)
+    by = {r["source"]: r["n"] for r in mixing.mix(df).groupBy("source").agg(F.sum(mixing.size_of(F.col("text")) * F.col("copies")).alias("n")).collect()}
+    assert by == {s: sum(x[4] for x in by_sql(rows) if x[2] == n) for s, n in (("a", 40), ("b", 3), ("c", 14), ("d", 800))}
+    once = spark.createDataFrame([(1, "a b c d e f", "en", "s", 0)] * 10 + [(2, "a b c d e f " * 10, "en", "t", 0)], MIX)
+    for source, target, words in {(r["source"], r["target"], r["source_size"]) for r in mixing.mix_plan(once).collect()}:
+        taken = sum(r["size"] * r["copies"] for r in mixing.mix_plan(once).collect() if r["source"] == source)
+        assert abs(taken - target) <= (6 if source == "s" else 60) and words == 60
+
+
+def test_mix_leaves_clashing_columns_alone(docs, rows):
+    names = ("target", "rest", "epochs", "cut", "source_size", "of", "low", "key", "size", "x", "room", "bucket", "offset")
+    odd = docs.select("*", *[F.lit("odd").alias(c) for c in names], F.lit(77).alias("copies"))
+    got = mixing.mix(odd)
+    assert got.columns == [*docs.columns, *names, "copies"]
+    assert sorted((str(r["doc_id"]), r["copies"]) for r in got.collect()) == sorted((str(r["doc_id"]), r["copies"]) for r in mixing.mix(docs).collect())
+    assert {r["target"] for r in got.select("target").distinct().collect()} == {"odd"}
+
+
 def test_mix_keeps_to_targets(spark):
     rng = np.random.default_rng(3)
     rows = [(i, " ".join(["word"] * int(rng.integers(1, 60))), "en", f"s{min(int(rng.integers(0, 9)), 5)}", 0) for i in range(3000)]
@@ -118,6 +148,41 @@ def test_method_finds_random_strings_only(scanned):
     assert found == [RANDOM]
 
 
+def plain_markov(text, model, margin=0.5):
+    """Spans of the method by its definition: runs of 20 characters, outside of base spans, by the mean ratio of their steps."""
+    at = lambda c: secrets.ALPHABET.find(c) + 1
+    base, out = base_spans(text), []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
+        steps = [float(f"{model[at(a) * secrets.STATES + at(b)]:.6f}") for a, b in zip(m[0], m[0][1:], strict=False)]
+        if sum(steps) / len(steps) >= margin and not any(m.start() < e and s < m.end() for s, _, e in base):
+            out.append((m.start(), 3, m.end()))
+    return out
+
+
+def test_spans_are_those_of_the_plain_method(spark):
+    rng, samples = random.Random(12), secrets.labelled_samples(spark, 300)
+    model, strings = secrets.train(samples), [r["text"] for r in samples.collect()]
+    texts = [*CASES[:-2]]
+    for _ in range(60):
+        some = [rng.choice([rng.choice(strings), rng.choice(strings)[:15], f"token={rng.choice(strings)}", "AKIA" + "A1B2" * 5, "é", "word", "f" * 30, f'secret: "{rng.choice(strings)}" x']) for _ in range(rng.randint(1, 12))]
+        texts.append(rng.choice([" ", ",", "\n"]).join(some))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in secrets.secrets(df, samples).collect():
+        text = texts[r["doc_id"]] or ""
+        assert [(x["start"], secrets.KINDS.index(x["kind"]), x["end"]) for x in r["spans"]] == sorted(base_spans(text) + plain_markov(text, model))
+
+
+def test_many_matches_in_one_text(spark):
+    import time
+
+    text = f"secret=aaaaaa {RANDOM} é " * 20_000
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.monotonic()
+    got = secrets.redact(secrets.secrets(df)).head()
+    assert time.monotonic() - began < 120
+    assert len(got["spans"]) == 40_000 and got["text"] == "<assign> <markov> é " * 20_000
+
+
 def test_held_out_samples(spark):
     samples = secrets.labelled_samples(spark, 800).withColumn("h", F.pmod(F.xxhash64("text"), F.lit(4)))
     model = secrets.train(samples.where("h > 0").select("text", "random"))
@@ -149,6 +214,71 @@ def edits(a, b):
     return d[-1]
 
 
+def may_have_edit(term):
+    return len(term.strip()) >= (4 if term.endswith(" ") else 5)
+
+
+def plain_find(word, terms):
+    """(edits, number of the term) by comparing with every term."""
+    best = None
+    for i in range(1, len(word) + 1):
+        hits = [(e, k) for k, t in enumerate(terms) if not t.endswith(" ") and (e := edits(word[:i], t)) <= may_have_edit(t)]
+        if hits and (best is None or min(hits)[0] < best[0]):
+            best = min(hits)
+    hits = [(e, k) for k, t in enumerate(terms) if t.endswith(" ") and (e := edits(word, t[:-1])) <= may_have_edit(t)]
+    return min(hits) if hits and (best is None or min(hits)[0] <= best[0]) else best
+
+
+def plain_score(text, model):
+    words, hits = (text or "").lower().split(), []
+    for i, w in enumerate(words):
+        hit = plain_find(w.strip(toxicity.STRIPPED), model["terms"])
+        value = model["weight"][hit[1]][hit[0]] if hit else 0
+        if value > 0:
+            before, after, near = words[max(0, i - 8) : i], words[i : i + 8], words[max(0, i - 8) : i + 9]
+            ends = lambda x: x.rstrip(".,;:!?")[-1:]
+            quotes = toxicity.QUOTES
+            quoted = (w[0] in quotes and ends(w) in quotes) or (any(x[0] in quotes for x in before) and any(ends(x) in quotes for x in after)) or any(x.strip(toxicity.STRIPPED) in toxicity.REPORTING for x in near)
+            hits.append((i, hit[1], hit[0], quoted, value))
+    n, total, log = len(words), sum(h[4] for h in hits), math.log1p
+    own = [h[4] for h in hits if not h[3]]
+    strong = [h[0] for h in hits if h[4] > 1]
+    x = [0.0] * 12
+    x[9] = log(n)
+    if hits:
+        close = max((sum(abs(p - q) <= 8 for q in strong) for p in strong), default=0)
+        x = [1.0, log(sum(own)), log(100 * len(strong) / n), max(own, default=0.0), log(max(0.0, total - sum(own))), log(len({h[1] for h in hits})), log(close)]
+        x += [log(sum(h[4] > 2.5 for h in hits)), log(sum(h[2] for h in hits)), log(n), log(len(strong)) * log(n), log(100 * sum(own) / n)]
+    z = model["w"][0] + sum(w * (v - m) / s for w, v, m, s in zip(model["w"][1:], x, model["mean"], model["sd"], strict=True))
+    return 1 / (1 + math.exp(-z))
+
+
+def test_scores_are_those_of_the_plain_method(spark, docs, rows):
+    data = labelled(spark)
+    model = toxicity.learn_from(data.drop("toxic"), data.select("doc_id", "toxic"))
+    odd = ["he said \"idiotic\" there", "wrthless", "morons morons idiotik", "the moron. \"worthles\" thing", "‘idiotic’ hand"]
+    more = [(1000 + i, t, "en", "web", 0) for i, t in enumerate(odd)]
+    texts = [r for r in rows if len(r[1] or "") < 9000] + more + [tuple(r)[:5] for r in data.limit(60).collect()]
+    df = spark.createDataFrame(texts, "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((str(r["doc_id"]), r["score"]) for r in toxicity.score(df, model).collect())
+    want = sorted((str(r[0]), plain_score(r[1], model)) for r in texts)
+    assert [g[0] for g in got] == [w[0] for w in want] and np.allclose([g[1] for g in got], [w[1] for w in want], atol=1e-9)
+
+
+def test_density_counts_every_hit():
+    rng = np.random.default_rng(8)
+    scattered = list(range(0, 20_000, 100))
+    assert toxicity.densest(scattered) == 1 and toxicity.densest([*scattered, *range(30_000, 30_030)]) == 17 and toxicity.densest([]) == 0
+    for _ in range(50):
+        places = sorted(set(rng.integers(0, 120, rng.integers(1, 60)).tolist()))
+        assert toxicity.densest(places) == max(sum(abs(p - q) <= toxicity.WINDOW for q in places) for p in places)
+
+
+def test_no_telling_term_is_cut():
+    words = ["".join(chr(97 + (k // 26**j) % 26) for j in range(3)) + "zz " for k in range(600)]
+    assert len(toxicity.choose_terms({w: (60, 0) for w in words}, 500, 5000)) == 600
+
+
 def test_automaton_matches_edit_distance():
     terms = ["idiot ", "moron ", "scum ", "worth", "clown "]
     m = toxicity.Matcher(terms)
@@ -158,7 +288,7 @@ def test_automaton_matches_edit_distance():
     for w in words:
         want = []
         for k, t in enumerate(terms):
-            most = 1 if len(t.strip()) >= toxicity.EDIT_FROM else 0
+            most = int(may_have_edit(t))
             if t.endswith(" "):
                 e = edits(w, t.strip())
             else:
@@ -217,7 +347,7 @@ def test_labels_of_the_held_out_fold_change_nothing(spark):
 # pages
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{x:1}</style><script>var t="</p>";</script></head><body><header><a href="/">Home</a></header>
-<nav class='m'><ul><li>One<li>Two</ul></nav><div class="ad">Buy %(ad)s now</div><article><h1>%(title)s</h1><p><b>%(a)s<br><p>A &amp; B&nbsp;&#x41;&lt; <i>c</i>d  e</p><!-- no --><aside>Related</aside></article>
+<nav class='m'><ul><li>One<li>Two</ul></nav><div class="ad">Buy %(ad)s now</div><article><h1>%(title)s</h1><p><b>%(a)s<br><p>A &amp; B&nbsp;&#x41;&lt; <i>c</i>d  e %(a)s</p><!-- no --><aside>Related</aside></article>
 <div id="comments"><p>%(c)s</p></div><form><input value="x">Name</form><footer>&copy; %(title)s</footer></body></html>"""
 
 
@@ -241,19 +371,111 @@ def test_main_text(spark):
     got = [(r["page_id"], r["text"]) for r in html.extract(pages(spark, extra).withColumn("host", F.lit("x")).withColumn("text", F.lit("y"))).collect()]
     found = dict(got)
     for i in range(12):
-        assert found[i] == f"Title {i} first words {i} A & B A< cd e"
+        assert found[i] == f"Title {i} first words {i} A & B A< cd e first words {i}"
     assert len(got) == 21 and found[100] == "" and found[101] == ""
     assert found[102] == "plain text more" and found[103] == "no markup at all & more"
     assert found[104] == "open never closed block" and found[105] == "body text" and found[106] == "deep"
     assert found[107] == " ".join(["word"] * 50_000)
 
 
-def test_templates_hold_the_shared_tokens(spark):
-    rows = pages(spark).withColumn("host", F.regexp_extract("url", "//([^/]*)", 1))
-    got = {r["host"]: (r["n_pages"], len(r["roles"])) for r in html.templates(rows).collect()}
-    assert got["site0.example.com"][0] == 6 and got["*"][0] == 12 and all(n > 15 for _, n in got.values())
-    shared = html.Page("<p>Buy now</p>").roles()
-    assert set(shared) == set(html.Page("<p>Buy now</p><p>other words</p>").roles()) & set(shared)
+def plain_classes(rows):
+    """Classes by the vectors themselves: how often a token occurs on each page of the host."""
+    out = {}
+    hosts = {html.host_of(u) for _, u, _ in rows}
+    for host in [*hosts, "*"]:
+        counts = [html.Page(x or "").roles() for _, u, x in rows if host in ("*", html.host_of(u))]
+        if len(counts) < html.LEAST_PAGES:
+            continue
+        by = {}
+        for role in set().union(*counts):
+            vector = tuple(c[role] for c in counts)
+            if sum(map(bool, vector)) >= max(2, html.SHARE * len(counts)):
+                by.setdefault(vector, set()).add(role)
+        out[host] = sorted(sorted(x) for x in by.values() if len(x) >= html.CLASS_SIZE)
+    return {h: x for h, x in out.items() if x}
+
+
+def test_classes_are_those_of_equal_occurrence_vectors(spark):
+    extra = [(100 + i, "http://third.example/", f"<div><p>a{'<li>x</li>' * (i % 3)}</div>" + ("<b>b</b><i>c</i>" if i % 5 else "")) for i in range(7)]
+    df = pages(spark, extra).repartition(5)
+    rows = [tuple(r) for r in df.collect()]
+    got = {}
+    for r in html.classes(df.withColumn("host", F.regexp_extract("url", "//([^/]*)", 1))).collect():
+        by = {}
+        for role, of in zip(r["roles"], r["of"], strict=True):
+            by.setdefault(of, []).append(role)
+        got[r["host"]] = sorted(sorted(x) for x in by.values())
+    assert got == plain_classes(rows)
+
+
+def site(k, n=10, article=None):
+    """Pages of one site in which no name tells anything; (html, the article's text)."""
+    rng = random.Random(k)
+    words = lambda n: " ".join(rng.choice(["stone", "water", "hand", "ring", "light", "tree", "bird", "road"]) + str(rng.randint(0, 99)) for _ in range(n))
+    out = []
+    for i in range(n):
+        title, paragraphs = words(5), [words(rng.randint(20, 60)) for _ in range(rng.randint(2, 6))]
+        menu = "".join(f'<li><a href="/{j}">{words(1)}</a></li>' for j in range(rng.randint(3, 7)))
+        body = f"<h1>{title}</h1>" + "".join(f"<p>{x}</p>" for x in paragraphs[:1]) + "<div class=z9>Tell your friends about this page and come back soon for more</div>" + "".join(f"<p>{x}</p>" for x in paragraphs[1:])
+        body += f'<ul class=z8>{"".join(f"<li><a href=/{j}>{words(2)}</a></li>" for j in range(4))}</ul>'
+        shell = f'<html><head><title>{title}</title></head><body><div class=k1><ul>{menu}</ul></div><div class=k2>{words(6)}</div>{article or "<div class=k7>"}{body}{"</section>" if article else "</div>"}'
+        out.append((f"{shell}<div class=k4><p>{words(9)}</p></div><div class=k5>&copy; {words(3)}</div></body></html>", " ".join([title, *paragraphs])))
+    return out
+
+
+def test_the_template_alone_finds_the_article(spark):
+    own, other = site(1), site(2, 3)
+    rows = [(i, "http://one.example/", h) for i, (h, _) in enumerate(own)] + [(50 + i, "http://few.example/", h) for i, (h, _) in enumerate(other)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html.extract(df).collect()}
+    assert {i: got[i] for i in range(10)} == {i: t for i, (_, t) in enumerate(own)}
+    assert {i: got[50 + i] for i in range(3)} == {i: t for i, (_, t) in enumerate(other)}  # by the template of all pages
+    assert all(html.main_text(h) != t for h, t in own)  # without a template: by names, which tell nothing here
+
+
+def test_template_text_in_a_named_article_goes(spark):
+    rows = [(i, "http://one.example/", f"<main><article><h1>Title {i}</h1><p>Share this story with all of your friends and neighbours today please</p><p>{'own words ' * 20}{i}</p></article></main>") for i in range(6)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for r in html.extract(df).collect():
+        assert r["text"] == f"Title {r['page_id']} {'own words ' * 20}{r['page_id']}"
+    assert "Share this" in html.main_text(rows[0][2])
+
+
+def test_copies_of_a_page_are_no_template(spark):
+    copy = f"<body><div class=a>menu</div><article><h1>One</h1><p>{'many words ' * 60}</p></article></body>"
+    other = "<body><div class=a>menu</div><article><h1>Two {i}</h1><p>" + "other words " * 60 + "{i}</p></article></body>"
+    rows = [(i, "http://one.example/", copy if i < 9 else other.format(i=i)) for i in range(10)]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(len(got[i].split()) > 100 for i in range(10))
+
+
+def test_classes_that_cross_or_change_order_are_not_valid():
+    def deduced(sources):
+        parsed = [html.Page(x) for x in sources]
+        counts = [p.roles() for p in parsed]
+        of = {}
+        for role in set().union(*counts):
+            vector = tuple(c[role] for c in counts)
+            of[role] = hash(vector)
+        arranged = [html.Arrangement(p, of) for p in parsed]
+        return of, arranged
+
+    of, moved = deduced(["<a>1</a><b>x</b>", "<b>y</b><a>2</a>"])
+    c = of[html.Page("<a>").items[0][1]]
+    assert moved[0].order[c] != moved[1].order[c] and set(moved[0].order[c]) == set(moved[1].order[c])
+    of, nested = deduced([f"<ul><li>{i}</li><li>{i}</li></ul>" for i in range(3)])
+    c = of[next(r for k, r, e, _ in html.Page("<ul><li>").items if e.name == "li")]
+    assert all(a.inside[c][0] == of[next(r for k, r, e, _ in html.Page("<ul>").items)] and a.times[c] == 2 for a in nested)
+
+
+def test_open_tags_without_end_take_linear_time():
+    import time
+
+    began = time.process_time()
+    assert html.main_text("<div>x" * 100_000).count("x") == 100_000
+    assert html.main_text("<p><td>" + "<b><hr></i>x" * 50_000).count("x") == 50_000
+    assert len(html.main_text("<a href='" * 20_000)) == 0
+    assert time.process_time() - began < 60
 
 
 def test_template_text_is_no_content_without_an_article(spark):
@@ -263,7 +485,7 @@ def test_template_text_is_no_content_without_an_article(spark):
 
 
 def test_hosts_beyond_the_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(html, "HOSTS", 1)
+    monkeypatch.setattr(html, "TOKENS", 60)
     for r in html.extract(pages(spark)).collect():
         assert r["text"].startswith(f"Title {r['page_id']} first")
 
@@ -287,10 +509,8 @@ def vector_rows():
     return rows + [(2000, [0.5] * 8, 1)]
 
 
-def test_vector_links(spark):
-    rows = vector_rows()
-    df = spark.createDataFrame([(*r, "x") for r in rows] + [(None, [0.5] * 8, 1, "x")], VECTORS + ", id string")
-    got = sorted({(r["vec_id"], r["n_links"], r["component_id"]) for r in vectors.near_duplicates(df).collect() if r["vec_id"] is not None})
+def plain_links(rows):
+    """(id, links, least id reachable) for every id, by comparing all."""
     good = {}
     for i, v, label in rows:
         if v and label is not None and all(x is not None and np.isfinite(x) for x in v) and any(v):
@@ -311,13 +531,55 @@ def test_vector_links(spark):
                 n[j] += 1
                 x, y = find(i), find(j)
                 root[max(x, y)] = min(x, y)
-    assert got == sorted({(i, n[i], find(i)) for i in root})
+    return sorted({(i, n[i], find(i)) for i in root})
+
+
+def found_links(df, **more):
+    return sorted({(r["vec_id"], r["n_links"], r["component_id"]) for r in vectors.near_duplicates(df, **more).collect() if r["vec_id"] is not None})
+
+
+def test_vector_links(spark):
+    rows = vector_rows()
+    df = spark.createDataFrame([(*r, "x") for r in rows] + [(None, [0.5] * 8, 1, "x")], VECTORS + ", id string")
+    assert found_links(df) == plain_links(rows)
     assert vectors.near_duplicates(spark.createDataFrame([], VECTORS)).count() == 0
 
 
+def test_where_the_audit_fails_all_are_compared(spark, monkeypatch):
+    for name, value in (("ATTEMPTS", 1), ("EXHAUSTIVE", (50, 200)), ("ROWS", 20), ("_recall", lambda *_: 0.0)):
+        monkeypatch.setattr(vectors, name, value)
+    rows = vector_rows()
+    assert found_links(spark.createDataFrame(rows, VECTORS)) == plain_links(rows)
+
+
+def test_few_pairs_among_many_vectors(spark, monkeypatch):
+    """Hardly any node has a link: the audit must look at enough nodes to see those missing."""
+    monkeypatch.setattr(vectors, "BLOCK", 16)
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(6000, 64))
+    for k in range(60):
+        noise = rng.normal(size=64)
+        x[2 * k + 1] = x[2 * k] / np.linalg.norm(x[2 * k]) + 0.36 * noise / np.linalg.norm(noise)
+    x = x.astype(np.float32)
+    y = x.astype(np.float64)
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    sims = y @ y.T
+    np.fill_diagonal(sims, 0)
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], VECTORS)
+    got = vectors.near_duplicates(df)
+    want = int((sims >= 0.93).sum())
+    assert want >= 60 and got.agg(F.sum("n_links")).head()[0] >= 0.99 * want
+
+
+def test_audit_counts_each_node_once(spark):
+    linked = spark.createDataFrame([(0, 1000, 0), (1, 1, 1), (2, 0, 2)], "id long, n long, root long")
+    assert vectors._recall({0: 1000, 1: 1, 2: 1, 3: 0}, linked) == 0.5
+    assert vectors._recall({3: 0}, linked) == 1.0 and vectors._recall({0: 2000}, linked) == 0.5
+
+
 def test_topk(spark, monkeypatch):
     monkeypatch.setattr(topk, "SHARD_ROWS", 100)
-    monkeypatch.setattr(topk, "QUERY_ROWS", 10)
+    monkeypatch.setattr(topk, "QUERY_BYTES", 1000)
     rows = vector_rows()
     df = spark.createDataFrame([(*r, 1, 1) for r in rows if r[1] != []] + [(None, [1.0] * 8, 1, 1, 1)], VECTORS + ", score int, shard int")
     got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.topk(df, df.where("vec_id % 20 = 0"), 20).collect()]
@@ -333,57 +595,22 @@ def test_topk(spark, monkeypatch):
     assert topk.topk(empty, empty).count() == 0 and topk.topk(few, empty).count() == 0
 
 
-# pipeline
-
-
-def test_pipeline_stages(spark, sf):
-    import corpus_pipeline
-    from skyfuse.llm import bpe, simhash
-    from skyfuse.llm.common import table
+def test_topk_is_exact_for_large_components(spark):
+    rows = [(0, [2.0**28, 0.0, 1.0], 1), (1, [2.0**22, 1.0, 3.0], 1), (2, [1e-3, 5.0, -2.0], 1), (3, [0.5, -(2.0**20), 0.1], 1), (20, [1.5, -2.0, -(2.0**53) - 2], 1), (40, [2.0**20, 2.0**20, 1.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.topk(df, df.where("vec_id in (0, 40)"), 4).collect()]
+    whole = {i: [math.floor(64 * Fraction(x)) for x in v] for i, v, _ in rows}
+    want = []
+    for q in (0, 40):
+        scored = sorted((-sum(a * b for a, b in zip(whole[q], w, strict=True)), i) for i, w in whole.items() if i != q)[:4]
+        want += [(q, k, i, -s) for k, (s, i) in enumerate(scored, 1)]
+    assert sorted(got) == sorted(want) and max(s for *_, s in got) > 2**60
+    huge = spark.createDataFrame([(0, [2.0**57], 1), (1, [2.0], 1), (2, [-1e300], 1)], "vec_id long, embedding array<double>, label int")
+    with pytest.raises(Exception, match="does not fit in a long"):
+        topk.topk(huge, huge.where("vec_id = 0")).collect()
 
-    docs = table(spark, sf, "documents")
-    model = toxicity.learn_from(docs, table(spark, sf, "labels"))
-    clean = {r["doc_id"] for r in toxicity.score(docs, model).where("score < 0.5").collect()}
-    rows = {r["doc_id"]: r["text"] for r in docs.collect() if r["doc_id"] in clean}
-    prints = {i: simhash.fingerprints_of([" ".join(t.split()).encode().lower() if t.isascii() else simhash.normal(t.encode(), True)])[0] for i, t in rows.items()}
-    root = {i: i for i in prints}
-    ids = sorted(prints)
 
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for k, i in enumerate(ids):
-        for j in ids[k + 1 :]:
-            if (int(prints[i]) ^ int(prints[j])).bit_count() <= 2:
-                a, b = find(i), find(j)
-                root[max(a, b)] = min(a, b)
-    kept = {i for i in ids if find(i) == i}
-    got = corpus_pipeline.run(spark, sf)
-    found = {}
-    for r in got.collect():
-        found.setdefault(r["doc_id"], []).append(r)
-    assert set(found) <= kept and max(map(len, found.values())) <= 2
-    redacted = {}
-    for i in found:
-        t, out, at = rows[i], "", 0
-        for s, _, e in base_spans(t):
-            if s >= at:
-                out += t[at:s] + "<x>"
-            at = max(at, e)
-        redacted[i] = out + t[at:]
-    for i, copies in found.items():
-        assert len({r["ids_sha256"] for r in copies}) == 1
-        if "<x>" not in redacted[i]:
-            assert copies[0]["decoded_sha256"] == hashlib.sha256(redacted[i].encode()).hexdigest()
-    import public_tokenizers as vocabularies
-
-    encoder = bpe.Encoder(bpe.read_ranks(vocabularies.path("byte_bpe_multi_50k.tiktoken")), vocabularies.PATTERN)
-    for copies in list(found.values())[:30]:
-        assert hashlib.sha256(encoder.decode(bytes(copies[0]["ids"]))).hexdigest() == copies[0]["decoded_sha256"]
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, docs.limit(0), sf).columns == docs.columns, name
+# pipeline
 
 
 def test_every_stage_and_query_is_registered():

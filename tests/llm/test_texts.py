@@ -160,6 +160,46 @@ def test_substrings(docs, rows, none, crowded, window):
     assert substrings.substring_dedup(none, window).count() == 0
 
 
+def test_unlike_windows_of_equal_rolling_hashes_stay(spark, monkeypatch):
+    a = "".join("ab"[k.bit_count() & 1] for k in range(2048))
+    b = a.translate(str.maketrans("ab", "ba"))
+    rest = " ".join(f"w{k}" for k in range(34))
+    texts = [(1, f"{a} {rest}"), (2, f"{b} {rest}"), (3, f"{rest} {a}"), (4, f"{rest} {a} x")]
+    spread = [" ".join((a if k else b)[i : i + 60] for i in range(0, 2040, 60)) for k in (0, 1)]  # the same, over many short words
+    texts += [(5, f"{spread[0]} end"), (6, f"{spread[1]} end")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    first = [Words([t.encode()]).hashes(35)[1][0] for _, t in texts[:2]]
+    assert first[0] == first[1]
+    got = {r["doc_id"]: sum(x["end"] - x["start"] for x in r["removed"]) for r in substrings.substring_dedup(df).collect()}
+    assert got == {1: 0, 2: 0, 3: 35, 4: 35, 5: 0, 6: 0}
+
+
+@pytest.mark.parametrize("window", [1, 2, 7, 35, 64])
+def test_window_hashes_do_not_depend_on_the_place(window):
+    import random
+
+    rng = random.Random(window)
+    words = [rng.choice(["a", "b", "cc", "d" * 40]) for _ in range(400)]
+    text = " ".join(words).encode()
+    high, low = Words([b"x y z", text, b"", text[2:]]).windows(window)
+    whole = [w for t in (b"x y z", text, b"", text[2:]) for w in [t.split()]]
+    seqs = [tuple(w[i : i + window]) for w in whole for i in range(len(w) - window + 1)]
+    assert len(seqs) == len(high)
+    for h in (high, low):
+        by = {}
+        for s, x in zip(seqs, h.tolist(), strict=True):
+            assert by.setdefault(s, x) == x
+        assert len(set(by.values())) == len(by)
+
+
+def test_wide_hashes_and_many_buckets(spark, docs, rows, monkeypatch):
+    monkeypatch.setattr(substrings, "BUCKET", 100)
+    monkeypatch.setattr(substrings, "PART", 3000)
+    cut = F.aggregate("removed", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
+    got = substrings.substring_dedup(docs, 5).select("doc_id", "n_words", cut.alias("n"), F.sha2("kept_text", 256).alias("h"))
+    assert collected(got, "doc_id", "n_words", "n", "h") == plain_removal(rows, 5)
+
+
 def test_removal_intervals_are_maximal(docs):
     for r in substrings.substring_dedup(docs).collect():
         for a, b in zip(r["removed"], r["removed"][1:], strict=False):
@@ -354,3 +394,38 @@ def test_appends_and_edits(vocabulary):
             assert [v.bytes_of[x] for x in t.ids()] == v.merged(t.data)
     long = bpe.PrefixTable(v, b"the thing " * 200)
     assert long.replace(5, 6, b"x") < 200
+
+
+def test_token_pairs_stay_apart_as_merging_says(vocabulary):
+    import random
+
+    v = bpe.Vocabulary(bpe.read_ranks(vocabulary[0]))
+    rng, ranks = random.Random(3), list(v.halves)
+    for _ in range(20_000):
+        a, b = rng.choice(ranks), rng.choice(ranks)
+        assert v.stay_apart(a, b) == (v.merged(v.bytes_of[a] + v.bytes_of[b]) == [v.bytes_of[a], v.bytes_of[b]])
+
+
+def test_caches_give_way(vocabulary, texts, monkeypatch):
+    path, pattern, library = vocabulary
+    monkeypatch.setattr(bpe, "GENERATION", 50)
+    monkeypatch.setattr(bpe, "CACHED_PAIRS", 40)
+    monkeypatch.setattr(bpe, "BATCH", 7)
+    encoder = bpe.Encoder(bpe.read_ranks(path), pattern)
+    for t in texts:
+        assert np.frombuffer(encoder.encode(t or ""), "<u4").tolist() == library.encode_ordinary(t or "")
+
+
+def test_a_run_without_a_break_takes_linear_time(vocabulary):
+    import random
+    import time
+
+    path, pattern, library = vocabulary
+    encoder, rng = bpe.Encoder(bpe.read_ranks(path), pattern), random.Random(4)
+    run = "".join(rng.choice("abcdefghijklmnop") for _ in range(1_000_000))
+    began = time.process_time()
+    ids = np.frombuffer(encoder.encode(run), "<u4").tolist()
+    assert time.process_time() - began < 60
+    assert encoder.decode(np.array(ids, "<u4").tobytes()) == run.encode() and len(encoder) < 10
+    few = run[:3000]
+    assert np.frombuffer(encoder.encode(few), "<u4").tolist() == library.encode_ordinary(few)
