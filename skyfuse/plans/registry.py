@@ -433,10 +433,14 @@ def gibbs_lowrank(spark, d):
 
 
 def fusion_mse_study(spark, d):
+    """With a biased first source, and without bias."""
     f = frames.small_basis_matrix()
-    generator = -0.5 * np.eye(f.shape[1])
-    s = spark.createDataFrame(statespace.noise_settings(True), "scenario int, sigma1 double, sigma2 double")
-    return statespace.fusion_study(s, f, np.linspace(0.1, 0.4, f.shape[1]), generator, 0.3)
+    generator, coef, out = -0.5 * np.eye(f.shape[1]), np.linspace(0.1, 0.4, f.shape[1]), None
+    for biased in (True, False):
+        s = spark.createDataFrame(statespace.noise_settings(biased), "scenario int, sigma1 double, sigma2 double")
+        one = statespace.fusion_study(s, f, coef, generator, 0.3 if biased else 0.0).withColumn("biased", F.lit(biased))
+        out = one if out is None else out.union(one)
+    return out
 
 
 _QUERIES = (

@@ -34,7 +34,7 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_manifest(rows: DataFrame, path: str) -> None:
-    rows.select(F.concat_ws("\t", F.col("t").cast("string"), "path").alias("value")).coalesce(1).sortWithinPartitions("value").write.mode("overwrite").text(path)
+    rows.repartitionByRange("t").sortWithinPartitions("t").select(F.concat_ws("\t", F.col("t").cast("string"), "path").alias("value")).write.mode("overwrite").text(path)
 
 
 def read_matrix(spark: SparkSession, path: str, columns: int, header: bool = True) -> DataFrame:
