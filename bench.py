@@ -21,7 +21,7 @@ HEADLINE = ("regrid_mean", "knn_impute", "optical_flow", "kernel_smooth", "k_gra
 
 
 def main() -> None:
-    spark = local_session(CPUS, int(CPUS))
+    spark = local_session(CPUS, int(CPUS), threads=int(CPUS))
     spark.sparkContext.setLogLevel("ERROR")
     queries = registry.queries()
     queries["gibbs_full"] = registry.gibbs_full

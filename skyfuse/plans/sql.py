@@ -175,6 +175,14 @@ GENERATOR = f"""{SMALL}, {BASIS}, design AS (
   FROM per m JOIN per k ON m.site = k.site AND m.domain = k.domain GROUP BY m.domain, m.col, k.col, m.kind, k.kind
 )"""
 
+#: exp(A) by its series; every term is the one before times A / k
+TERMS = 20
+SERIES = f"""{GENERATOR}, small AS MATERIALIZED (SELECT domain, i, j, v / 16 AS v FROM entries), t0 AS (SELECT DISTINCT domain, i, i AS j, 1.0::DOUBLE AS v FROM small), {", ".join(
+    f"t{k} AS MATERIALIZED (SELECT a.domain, a.i, b.j, sum(a.v * b.v) / {k} AS v FROM t{k - 1} a JOIN small b ON a.domain = b.domain AND a.j = b.i GROUP BY ALL)" for k in range(1, TERMS)
+)}, e0 AS MATERIALIZED (SELECT domain, i, j, sum(v) AS v FROM ({" UNION ALL ".join(f"FROM t{k}" for k in range(TERMS))}) GROUP BY ALL), {", ".join(
+    f"e{k} AS MATERIALIZED (SELECT a.domain, a.i, b.j, sum(a.v * b.v) AS v FROM e{k - 1} a JOIN e{k - 1} b ON a.domain = b.domain AND a.j = b.i GROUP BY ALL)" for k in range(1, 5)
+)}"""
+
 #: The same for 20 x 20 functions and 3,600 sites: each function's values as a list over the sites, an entry an inner product
 GENERATOR_FULL = f"""{GRID}, {omega(20)}, columns_of AS (
   SELECT ord AS col, 'c1' AS kind, k1, k2 FROM om WHERE grp = 1 UNION ALL SELECT 4 + ord, 'c2', k1, k2 FROM om WHERE grp = 2 UNION ALL SELECT 202 + ord, 's2', k1, k2 FROM om WHERE grp = 2
@@ -302,6 +310,7 @@ SQL: dict[str, str] = {
     "row_gates": f"WITH {GRID} SELECT 'grid' AS gate, count(*) AS n_rows, count(*) >= 18000 AS passed FROM images UNION ALL SELECT 'present', count(*), count(*) >= 10 FROM images WHERE aod IS NOT NULL",
     "geos_inverse": f"WITH mesh AS (SELECT x.range::INT AS i, y.range::INT AS j, (x.range - 12) * 0.0132::DOUBLE AS a, (y.range - 12) * 0.0132::DOUBLE AS b FROM range(25) x, range(25) y), {geos('x', -137.0, '')}, {geos('y', -75.0, '_y')} SELECT i, j, {cols('lon', 'lat', 'lon_y', 'lat_y')} FROM g JOIN g_y USING (i, j)",
     "ivw_fusion": f"WITH {SMALL_BOTH} SELECT a.t + 1 AS t, a.lat_i * 12 + a.lon_i + 1 AS site, {r6('a.aod / (1 + 0.01) + b.aod * (0.01 / (1 + 0.01))')} AS y FROM images a JOIN images b ON a.sat = 0 AND b.sat = 1 AND a.t = b.t AND a.lat_i = b.lat_i AND a.lon_i = b.lon_i WHERE a.aod IS NOT NULL AND b.aod IS NOT NULL",
+    "matrix_expm": f"WITH {SERIES} SELECT domain, i, j, {cols('v')} FROM e4",
     "generator_matrix": f"WITH {GENERATOR_FULL} SELECT i, j, {cols('v')} FROM entries",
     "kalman_two_state": f"""WITH RECURSIVE {TWO_STATE} SELECT sat AS chain, kind, t AS time_step, unnest([1, 1, 1, 2, 2, 2]) AS i, unnest([0, 1, 2, 0, 1, 2]) AS j, unnest([{r6('m1')}, {r6('a')}, {r6('b')}, {r6('m2')}, {r6('b')}, {r6('d')}]) AS value FROM told""",
     "obs_stack": f"""WITH {SMALL_BOTH}, {BASIS}, own AS (SELECT sat, t + 1 AS t, lat_i * 12 + lon_i + 1 AS site, aod AS y, row_number() OVER (PARTITION BY t ORDER BY sat, lat_i, lon_i)::INT AS row FROM images WHERE aod IS NOT NULL)

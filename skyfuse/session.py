@@ -10,13 +10,14 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: str = "8", partitions: int = 8, memory: str = "12g") -> SparkSession:
-    """A single-machine session, for tests and the benchmark."""
+def local_session(cores: str = "8", partitions: int = 8, memory: str = "12g", threads: int = 1) -> SparkSession:
+    """A single-machine session, for tests and the benchmark. threads: of dense linear algebra in a Python task."""
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("skyfuse")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(partitions))
+        .config("spark.executorEnv.OMP_NUM_THREADS", str(threads))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
