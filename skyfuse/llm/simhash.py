@@ -9,6 +9,7 @@ values within them, and the candidates are verified on all bits."""
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +61,14 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprint(shingle), "doc_id long, fp long")
 
 
+def _printed(shingle: int):
+    def run(batches):
+        for part, raw in text_slices(batches, most=1 << 20):
+            yield pa.record_batch([part.column(0), part.column(1), pa.array(fingerprints_of([normal(x, lower=True) for x in raw], shingle).view(np.int64))], ["__id", "__h", "__print"])
+
+    return run
+
+
 def _bits(batch: pa.RecordBatch) -> np.ndarray:
     fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
     return ((fp[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).astype(np.float64)
@@ -182,16 +191,32 @@ def _probe(groups, limit, held, cells):
     return run
 
 
-def hamming_links(distinct: DataFrame, limit: int = 2, m: int = 3, cells: int = 1 << 16) -> DataFrame:
+def probes_of(m: int, limit: int) -> int:
+    """How many values a fingerprint probes over m partitions, if their thresholds are as even as can be."""
+    goal = limit - m + 1
+    t = [goal // m + (i < goal % m) for i in range(m)]
+    return sum(math.comb(64 // m, r) for x in t for r in range(x + 1))
+
+
+def parts_for(n: int, limit: int) -> int:
+    """The number of partitions whose probes and expected candidates, of n fingerprints, are fewest."""
+    return min(range(1, limit + 2), key=lambda m: probes_of(m, limit) * (1 + n / 2.0 ** (64 // m)))
+
+
+def hamming_links(distinct: DataFrame, limit: int = 2, m: int | None = None, cells: int | None = None) -> DataFrame:
     """(a, b), a < b: all pairs of distinct fingerprints (column fp) that differ in
-    1 to `limit` bits. The driver gets 64 x 64 joint bit counts and m x cells
-    candidate counts, whatever the table's size."""
+    1 to `limit` bits. m, by default by the number of fingerprints: partitions. The
+    driver gets 64 x 64 joint bit counts and m x cells candidate counts, of 2**20
+    cells at most."""
     spark = distinct.sparkSession
     only = distinct.select("fp")
+    n = only.count()
+    m = m or parts_for(n, limit)
+    cells = cells or min(1 << 20, max(1 << 16, 1 << (n // 4).bit_length()))
     joint = np.zeros(4096)
     for r in only.mapInArrow(_joint, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
         joint[r["cell"]] = r["n"]
-    groups = partitions(joint.reshape(64, 64), only.count(), m)
+    groups = partitions(joint.reshape(64, 64), n, m)
     index, count = _spread(groups, cells)
     found = np.zeros(m * cells, np.int64)
     for r in only.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
@@ -222,15 +247,20 @@ def simhash_dedup(docs: DataFrame, limit: int = 2, shingle: int = 3) -> DataFram
 
 
 def one_of_each(docs: DataFrame, limit: int = 2, shingle: int = 3) -> DataFrame:
-    """The rows of docs whose doc_id is their component's smallest; repeated rows
-    once. Rows without an id stay, one of each text, where none of their component
-    has an id."""
+    """The rows of docs whose doc_id is their component's smallest; of rows of equal id
+    and text one. Where one doc_id stands on texts of unlike fingerprints, each counts by
+    itself. Rows without an id stay, one of each text, where none of their component
+    has an id. Names that begin with __ are reserved."""
     kept = simhash_dedup(docs, limit, shingle).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = materialize(kept.select(F.col("doc_id").alias("__kept"), F.col("fp").alias("__fp")).distinct())
-    named = docs.join(kept.select("__kept").where("__kept is not null"), F.col("doc_id") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
-    if not kept.where("__kept is null").head(1):
-        return named
-    return named.union(docs.where(F.col("doc_id").isNull()).dropDuplicates(["text"]))
+    text = F.col("text").cast("string")
+    # a row's fingerprint by its id and text: computed once for each
+    ship(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("__id"), F.xxhash64(text).alias("__h"), text.alias("text")).dropDuplicates(["__id", "__h"])
+    own = rows.mapInArrow(_printed(shingle), "__id long, __h long, __print long")
+    taken = own.join(kept, F.col("__id").eqNullSafe(F.col("__kept")) & (F.col("__print") == F.col("__fp"))).select("__id", "__h")
+    hashed = docs.withColumn("__text", F.xxhash64(text))
+    return hashed.join(taken, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__h")), "left_semi").dropDuplicates(["doc_id", "__text"]).select(*docs.columns)
 
 
 def op4_simhash(spark, sf_dir):
