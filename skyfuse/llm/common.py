@@ -4,7 +4,6 @@ shared folder, and iteration over Arrow batches by bounded amounts of text."""
 from __future__ import annotations
 
 import contextlib
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,25 +11,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from skyfuse.session import ship, table
+from skyfuse.session import shared_dir, ship, table
 
 __all__ = ["ship", "table", "shared_dir", "materialize", "discard", "tidy", "text_slices", "parallelism"]
 
 _written: list[str] = []  # paths of the tables that materialize() has written and nothing has removed
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir). Where
-    it is unset, as in tests on one machine, a temporary one takes its place."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="skyfuse-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
 def materialize(df: DataFrame, *by: str) -> DataFrame:
     """Write df into the shared folder, parted by the columns `by`, and read it back:
     later reads neither recompute it nor depend on the executors that made it."""
