@@ -124,7 +124,7 @@ class Tree:
         for d in range(1, depth + 1):
             mask = np.uint64((1 << (8 * (d - 1))) - 1)
             parents.append(np.searchsorted(contexts[d - 1], contexts[d] & mask))
-        weighted = [np.zeros((len(c), width), np.float32) for c in contexts]  # log probability of what came after each node
+        weighted = [np.zeros((len(c), width)) for c in contexts]  # log probability of what came after each node
         stop = [np.ones((len(c), width), np.float32) for c in contexts]
         rest = [np.zeros((0, width), np.uint32)] * (depth + 1)
         for d in range(depth, -1, -1):
@@ -408,21 +408,31 @@ def code_lengths(grams: DataFrame, depth: int = DEPTH):
     return lambda runs: dealt(runs).mapInArrow(_lower(depth, root, symbol, share, bits, held), "key long, n long, log double")
 
 
-def _most_frequent(counted: DataFrame, room: int) -> tuple[list[tuple[int, int]], int]:
-    """How many keys come n times, for each n, highest first; and the least n at which no more than `room` keys come as often."""
-    by_count = sorted(((r["n"], r["keys"]) for r in counted.groupBy("n").agg(F.count("*").alias("keys")).collect()), reverse=True)
-    least = by_count[0][0] + 1 if by_count else 1
-    for n, w in by_count:
-        if w > room:
-            break
-        least, room = n, room - w
-    return by_count, least
+def _most_frequent(counted: DataFrame, room: int) -> tuple[int, int, int]:
+    """All keys' counts together, the number of keys, and the least n at which no more than
+    `room` keys come as often. The driver gets a row for each power of two, and one for each
+    count in the power that the answer lies in; of a power beyond 2**16 its upper end is taken."""
+    power = F.floor(F.log2("n") + 1e-9).cast("int")  # counts below 2**40 fall in their own power
+    rows = counted.groupBy(power.alias("p")).agg(F.count("*").alias("keys"), F.sum("n").alias("n")).collect()
+    by_power = {r["p"]: r["keys"] for r in rows}
+    total, keys = sum(r["n"] for r in rows), sum(by_power.values())
+    least = (1 << max(by_power) + 1) if by_power else 1
+    for p in sorted(by_power, reverse=True):
+        if by_power[p] <= room:
+            room, least = room - by_power[p], 1 << p
+            continue
+        if p <= 16:
+            for r in sorted(counted.where(power == p).groupBy("n").agg(F.count("*").alias("keys")).collect(), reverse=True):
+                if r["keys"] > room:
+                    break
+                room, least = room - r["keys"], r["n"]
+        break
+    return total, keys, least
 
 
 def _apply(held_tree, held_words):
     def run(batches):
         tree, (frequent, logs) = held_tree.value, held_words.value
-        rng = np.random.default_rng()
         for part, raw in text_slices(batches, most=SLICE):
             words = Words([normal(x, lower=True) for x in raw])
             code, back = np.unique(separate(words.buf, codes(words.buf, tree.depth), tree.depth), return_inverse=True)
@@ -440,8 +450,8 @@ def _apply(held_tree, held_words):
             rare = ~known
             offsets = np.concatenate([[0], np.cumsum(np.bincount(words.doc[rare], minlength=n))]).astype(np.int32)
             yield pa.record_batch(
-                [part.column(part.schema.get_field_index("doc_id")), pa.array(rng.integers(0, 1 << 62, n)), pa.array(words.counts() + 1), pa.array(np.bincount(words.doc[known], minlength=n)), pa.array(base), pa.array(score), pa.ListArray.from_arrays(pa.array(offsets), pa.array(h[rare].view(np.int64))), pa.ListArray.from_arrays(pa.array(runs), pa.array(code[back[asked]].view(np.int64)))],
-                ["doc_id", "row", "n_tokens", "n_known", "base", "score", "rare", "runs"],
+                [part.column(part.schema.get_field_index("doc_id")), pa.array(np.diff(np.concatenate([[0], ends]))), pa.array(words.counts() + 1), pa.array(np.bincount(words.doc[known], minlength=n)), pa.array(base), pa.array(score), pa.ListArray.from_arrays(pa.array(offsets), pa.array(h[rare].view(np.int64))), pa.ListArray.from_arrays(pa.array(runs), pa.array(code[back[asked]].view(np.int64)))],
+                ["doc_id", "n_bytes", "n_tokens", "n_known", "base", "score", "rare", "runs"],
             )
 
     return run
@@ -453,7 +463,8 @@ def in_fold(doc_id: str = "doc_id", folds: int = 5, fold: int = 1):
 
 def score_texts(docs: DataFrame, training: DataFrame, depth: int = DEPTH, nodes: int | None = None) -> DataFrame:
     """Per row of docs: doc_id, n_tokens, n_known, train_tokens, base_score (words
-    by their smoothed counts) and score (the tree's log10 probability of the text).
+    by their smoothed counts), score (the tree's log10 probability of the text) and
+    bits_per_byte (the code length that it gives, per byte of the words and the end).
     Words and bytes are counted over all rows of training. With `nodes`, the tree
     is cut to so many contexts, the most frequent; else it holds all.
 
@@ -471,20 +482,19 @@ def score_texts(docs: DataFrame, training: DataFrame, depth: int = DEPTH, nodes:
     vocabulary = found.where(F.col("kind") == WORDS).select("key", "n")
     grams = found.where(F.col("kind") == GRAMS).select("key", "n")
     if nodes is None:
-        lengths, often = code_lengths(grams, depth), _most_frequent(grams, RUNS)[1]
+        lengths, often = code_lengths(grams, depth), _most_frequent(grams, RUNS)[2]
         tree = Runs(depth, *_numbers(lengths(grams).where(F.col("n") >= often), "key", "log"))
     else:
         tree = grow(grams, depth, nodes)
-    by_count, least = _most_frequent(vocabulary, FREQUENT)
-    tokens = sum(n * w for n, w in by_count) + ends
-    words = sum(w for _, w in by_count) + bool(ends)
+    tokens, words, least = _most_frequent(vocabulary, FREQUENT)
+    tokens, words = tokens + ends, words + bool(ends)
     key, n = _numbers(vocabulary.where(F.col("n") >= least), "key", "n")
     order = np.argsort(key.view(np.uint64))
     frequent = key.view(np.uint64)[order], np.log10(n[order] + 0.5)
     sc = spark.sparkContext
     held = sc.broadcast(tree), sc.broadcast(frequent)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = materialize(docs.select("doc_id", text).mapInArrow(_apply(*held), f"doc_id {kind}, row long, n_tokens long, n_known long, base double, score double, rare array<long>, runs array<long>"))
+    scored = materialize(docs.select("doc_id", text).mapInArrow(_apply(*held), f"doc_id {kind}, n_bytes long, n_tokens long, n_known long, base double, score double, rare array<long>, runs array<long>").withColumn("row", F.monotonically_increasing_id()))
     rare = scored.select("row", F.explode("rare").alias("key"))
     seldom = vocabulary.where(F.col("n") < least).withColumnRenamed("key", "of")
     met = rare.join(seldom, F.col("key") == F.col("of"))
@@ -503,10 +513,10 @@ def score_texts(docs: DataFrame, training: DataFrame, depth: int = DEPTH, nodes:
     unseen = F.size("rare") - met_here
     end = math.log10(ends + 0.5)
     base = F.col("base") + F.coalesce("more", F.lit(0.0)) + unseen * math.log10(0.5) + end - F.col("n_tokens") * math.log10(tokens + 0.5 * (words + 1))
-    return out.select("doc_id", "n_tokens", (F.col("n_known") + met_here + F.lit(int(bool(ends)))).cast("long").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), score.alias("score"))
+    return out.select("doc_id", "n_tokens", (F.col("n_known") + met_here + F.lit(int(bool(ends)))).cast("long").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), score.alias("score"), (score * (-math.log2(10)) / F.col("n_bytes")).alias("bits_per_byte"))
 
 
 def op1_ctw(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = score_texts(docs, docs.where(~in_fold()))
-    return out.select("doc_id", in_fold().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return out.select("doc_id", in_fold().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")

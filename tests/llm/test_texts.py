@@ -310,6 +310,20 @@ def test_tree_scores_by_definition(spark):
             assert got[i] == pytest.approx(direct_score(train, normal(t.encode(), True), depth, nodes), abs=1e-4), (depth, t)
 
 
+def test_the_most_frequent_keys_fit_the_room(spark):
+    import random
+
+    rng = random.Random(6)
+    counts = [rng.choice([1, 1, 1, 2, 3, 4, 7, 8, 31, 32, 33, 1000, 70_000, 70_001, 1 << 30]) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(counts)), "key long, n long")
+    for room in (0, 1, 20, 60, 100, 250, 299, 300, 1000):
+        total, keys, least = ctw._most_frequent(df, room)
+        assert (total, keys) == (sum(counts), 300) and sum(n >= least for n in counts) <= room
+        lower = max((n for n in counts if n < least), default=0)
+        assert not lower or lower >= 1 << 17 or 70_000 <= lower < 1 << 17 or sum(n >= lower for n in counts) > room
+    assert ctw._most_frequent(df.limit(0), 5) == (0, 0, 1)
+
+
 @pytest.mark.parametrize("runs", [1 << 21, 4, 0])
 def test_every_context_is_a_node(spark, monkeypatch, runs):
     monkeypatch.setattr(ctw, "RUNS", runs)
