@@ -29,6 +29,7 @@ from collections import Counter, defaultdict
 
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -451,19 +452,22 @@ def main_text(source: str, *templates: Template) -> str:
 
 
 def _tokens(batches):
-    """Per slice and host: each token's pages, and the number that stands for its vector."""
+    """Per slice and host: each token's pages, and the number that stands for its vector.
+    A page is known by its place, so repeated rows and missing ids don't cancel out."""
+    context = TaskContext.get()
+    partition, row = context.partitionId() if context else 0, 0
     for part, raw in text_slices(batches, "html", most=8 << 20):
-        ids = part.column(part.schema.get_field_index("page_id")).to_pylist()
         hosts = part.column(part.schema.get_field_index("host")).to_pylist()
         seen: dict[tuple[str, int], list[int]] = {}
-        for page_id, host, x in zip(ids, hosts, raw, strict=True):
+        for host, x in zip(hosts, raw, strict=True):
+            row += 1
             got = seen.setdefault((host, 0), [0, 0])
             got[0] += 1
             stamps: dict[int, int] = {}
             for role, n in Page(x.decode()).roles().items():
                 h = stamps.get(n)
                 if h is None:
-                    h = stamps[n] = xxhash.xxh64_intdigest(f"{page_id} {n}", 3) >> 1
+                    h = stamps[n] = xxhash.xxh64_intdigest(f"{partition} {row} {n}", 3) >> 1
                 got = seen.get((host, role))
                 if got is None:
                     seen[host, role] = [1, h]

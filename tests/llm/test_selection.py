@@ -433,6 +433,13 @@ def test_the_template_alone_finds_the_article(spark):
     assert all(html.main_text(h) != t for h, t in own)  # without a template: by names, which tell nothing here
 
 
+def test_repeated_rows_and_missing_ids_leave_the_template(spark):
+    own = site(3)
+    for rows in ([(i, "http://one.example/", h) for i, (h, _) in enumerate(own)] * 2, [(None, "http://one.example/", h) for h, _ in own]):
+        got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(2))
+        assert sorted(r["text"] for r in got.collect()) == sorted([t for _, t in own] * (len(rows) // len(own)))
+
+
 def test_template_text_in_a_named_article_goes(spark):
     rows = [(i, "http://one.example/", f"<main><article><h1>Title {i}</h1><p>Share this story with all of your friends and neighbours today please</p><p>{'own words ' * 20}{i}</p></article></main>") for i in range(6)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
