@@ -10,7 +10,7 @@ table, and a text's is a sum.
 
 The tree is a table of runs (a context and the byte after it). It is dealt by the
 last ROOT bytes of the contexts: all below such a context is worked out in one
-task, what is above it at the driver. Texts look up the most frequent runs in the
+task (by parts where it is crowded, 16 bytes a run being held), what is above it at the driver. Texts look up the most frequent runs in the
 tasks; the other runs, and those that training lacks, are joined.
 
 Texts are words of lower-case letters A-Z joined by spaces, with a newline at
@@ -31,7 +31,7 @@ from skyfuse.llm.rolling import Words, normal
 DEPTH = 6
 NODES = 65536  # of the bounded tree that grow() makes: contexts of all lengths, the most frequent
 ROOT = 3
-CHUNK = 1 << 17  # runs worked out at once, or those of one context of ROOT bytes if more
+CHUNK = 1 << 17  # runs worked out at once, or those of one context of ROOT + 1 bytes if more
 RUNS = 1 << 21  # most frequent runs whose code lengths are broadcast; the others' are joined
 FREQUENT = 1 << 20  # most frequent words whose counts are broadcast; the others' are joined
 WORDS, GRAMS = 0, 1
@@ -301,6 +301,14 @@ class Level:
         self.weighted = own if below is None else math.log(0.5) + np.logaddexp(own, below)
         self.stop = np.ones(len(item)) if below is None else np.exp(math.log(0.5) + own - self.weighted)
 
+    @classmethod
+    def joined(cls, parts: list[Level]) -> Level:
+        """One level of several that share no item."""
+        out = cls.__new__(cls)
+        for name in ("item", "a", "b", "weighted", "stop"):
+            setattr(out, name, np.concatenate([getattr(x, name) for x in parts]))
+        return out
+
     def up(self, bytes_: int) -> Level:
         """The level of contexts of so many bytes, one less than here."""
         item, self.parent = np.unique(self.item & np.uint64((1 << (8 * (bytes_ + 1))) - 1), return_inverse=True)
@@ -345,34 +353,70 @@ def _by_root(batches, root: int):
         yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
 
+def _parts(key: np.ndarray, n: np.ndarray, length: int):
+    """(key, n) of about CHUNK runs, all of a context of `length` bytes together."""
+    of = key >> np.uint64(8) & np.uint64((1 << (8 * length)) - 1)
+    order = np.argsort(of, kind="stable")
+    key, n, of = key[order], n[order], of[order]
+    begin = np.concatenate([[0], np.flatnonzero(of[1:] != of[:-1]) + 1, [len(of)]])
+    at = 0
+    while at < len(of):
+        end = int(begin[max(np.searchsorted(begin, at + CHUNK, "right") - 1, np.searchsorted(begin, at, "right"))])
+        yield key[at:end], n[at:end]
+        at = end
+
+
 def _raise(depth: int, root: int, symbol: np.ndarray, bits: int):
     def run(batches):
         for key, n in _by_root(batches, root):
-            top = _levels(key, n, symbol, bits, depth, root)[0][-1]
+            if len(key) <= 2 * CHUNK or depth == root:
+                top = _levels(key, n, symbol, bits, depth, root)[0][-1]
+            else:  # a crowded context is worked out by the contexts one byte longer; only their sums stay
+                top = Level.joined([_levels(k, m, symbol, bits, depth, root + 1)[0][-1] for k, m in _parts(key, n, root + 1)]).up(root)
             yield pa.record_batch([pa.array(top.item.view(np.int64)), pa.array(top.a.astype(np.int64)), pa.array(top.b.astype(np.int64)), pa.array(top.weighted)], ["item", "a", "b", "weighted"])
 
     return run
 
 
 def _lower(depth: int, root: int, symbol: np.ndarray, share: np.ndarray, bits: int, held):
+    def told(key, n, levels, at, bit, mixed, open_):
+        """Code lengths of runs, given what is mixed above their highest level."""
+        for i in range(len(levels) - 1, -1, -1):
+            mixed, open_ = levels[i].down(mixed, open_)
+            if i:
+                mixed, open_ = mixed[levels[i - 1].parent], open_[levels[i - 1].parent]
+        one = np.clip(mixed, 1e-9, 1 - 1e-9)[at]
+        log = np.log10(np.where(bit == 1, one, 1 - one)).sum(1) + share[(key & np.uint64(255)).astype(np.int64)]
+        return pa.record_batch([pa.array(key.view(np.int64)), pa.array(n), pa.array(log)], ["key", "n", "log"])
+
     def run(batches):
         above = held.value
-        for key, n in _by_root(batches, root):
-            levels, at, bit = _levels(key, n, symbol, bits, depth, root)
-            first = levels[-1].item
+
+        def from_above(first):
             mixed, open_ = np.zeros(len(first)), np.ones(len(first))
             for d, (item, m, o) in enumerate(above):  # of the longest context met in training
                 ask = first & np.uint64((1 << (8 * (d + 1))) - 1)
                 place = np.minimum(np.searchsorted(item, ask), max(len(item) - 1, 0))
                 hit = item[place] == ask if len(item) else np.zeros(len(ask), bool)
                 mixed[hit], open_[hit] = m[place[hit]], o[place[hit]]
-            for i in range(len(levels) - 1, -1, -1):
-                mixed, open_ = levels[i].down(mixed, open_)
-                if i:
-                    mixed, open_ = mixed[levels[i - 1].parent], open_[levels[i - 1].parent]
-            one = np.clip(mixed, 1e-9, 1 - 1e-9)[at]
-            log = np.log10(np.where(bit == 1, one, 1 - one)).sum(1) + share[(key & np.uint64(255)).astype(np.int64)]
-            yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(n), pa.array(log)], ["key", "n", "log"])
+            return mixed, open_
+
+        for key, n in _by_root(batches, root):
+            if len(key) <= 2 * CHUNK or depth == root:
+                levels, at, bit = _levels(key, n, symbol, bits, depth, root)
+                yield told(key, n, levels, at, bit, *from_above(levels[-1].item))
+                continue
+            parts = list(_parts(key, n, root + 1))
+            tops = [_levels(k, m, symbol, bits, depth, root + 1)[0][-1] for k, m in parts]
+            lower, ends = Level.joined(tops), np.cumsum([len(x.item) for x in tops])
+            upper = lower.up(root)
+            mixed, open_ = upper.down(*from_above(upper.item))
+            mixed, open_ = mixed[lower.parent], open_[lower.parent]
+            del tops
+            for (k, m), end in zip(parts, ends.tolist(), strict=True):
+                levels, at, bit = _levels(k, m, symbol, bits, depth, root + 1)
+                own = slice(end - len(levels[-1].item), end)
+                yield told(k, m, levels, at, bit, mixed[own], open_[own])
 
     return run
 

@@ -338,6 +338,34 @@ def test_every_context_is_a_node(spark, monkeypatch, runs):
             assert got[i] == pytest.approx(direct_score(train, normal(t.encode(), True), depth, 1 << 30), abs=1e-4), (depth, t)
 
 
+@pytest.mark.parametrize("root", [1, 3])
+def test_crowded_contexts_are_worked_out_by_parts(monkeypatch, root):
+    import pyarrow as pa
+
+    rng, depth = np.random.default_rng(14), 5
+    buf = rng.choice(np.frombuffer(b"aab \n", np.uint8), 4000)
+    key, n = np.unique(ctw.codes(buf, depth), return_counts=True)
+    n[::7] = 0  # asked for, not met in training
+    of = key >> np.uint64(8) & np.uint64((1 << (8 * root)) - 1)
+    order = np.argsort(of, kind="stable")
+    batches = [pa.record_batch([pa.array(key[order][i : i + 300].view(np.int64)), pa.array(n[order][i : i + 300])], ["key", "n"]) for i in range(0, len(key), 300)]
+    symbol, share = ctw.symbols(np.unique(buf), 8)
+
+    class Held:
+        value = [(np.arange(3, dtype=np.uint64), np.full(3, 0.1), np.full(3, 0.8))]
+
+    found = []
+    for chunk in (1 << 17, 40, 3):
+        monkeypatch.setattr(ctw, "CHUNK", chunk)
+        up = pa.Table.from_batches(list(ctw._raise(depth, root, symbol, 3)(iter(batches)))).to_pandas().sort_values("item")
+        parts = list(ctw._lower(depth, root, symbol, share, 3, Held)(iter(batches)))
+        found.append((up, pa.Table.from_batches(parts).to_pandas().sort_values("key"), len(parts)))
+    for up, down, _ in found[1:]:
+        assert up["item"].tolist() == found[0][0]["item"].tolist() and np.allclose(up[["a", "b", "weighted"]], found[0][0][["a", "b", "weighted"]])
+        assert down["key"].tolist() == found[0][1]["key"].tolist() and np.allclose(down["log"], found[0][1]["log"], atol=1e-9)
+    assert found[0][2] < found[2][2]
+
+
 def test_no_context_is_cut_from_a_large_tree(spark):
     rng = np.random.default_rng(2)
     texts = [" ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 7)) for _ in range(500)) for _ in range(40)]
