@@ -17,7 +17,7 @@ from skyfuse.session import local_session  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-HEADLINE = ("regrid_mean", "knn_impute", "optical_flow", "kernel_smooth", "k_gradient", "transition_matrix", "generator_matrix_small", "obs_assembly", "compare_per_step", "state_reconstruction", "kalman_filter", "gibbs_ffbs")
+HEADLINE = ("regrid_mean", "knn_impute", "optical_flow", "kernel_smooth", "k_gradient", "transition_matrix", "generator_matrix_small", "generator_matrix", "obs_assembly", "compare_per_step", "state_reconstruction", "kalman_filter", "gibbs_ffbs")
 
 
 def main() -> None:
