@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from skyfuse.llm.common import ship, table, text_slices
 
-GENERATION = 400_000  # pieces met lately are held in two generations of about so many
+GENERATION = 200_000  # pieces met lately are held in two generations of about so many
 CACHED_PAIRS = 1_000_000
 BATCH = 1 << 15  # pieces worked out at once
 LONGEST_CACHED = 64  # bytes; a longer piece is worked out by itself, in time linear in its length, and not held

@@ -13,6 +13,7 @@ import numpy as np
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 LONG_WORD = 32  # bytes
+HELD = 3 << 20  # powers that a process holds at most
 _B = 0x9E3779B97F4A7C15
 _B_INV = pow(_B, -1, 1 << 64)
 _powers: list[np.ndarray] = []
@@ -42,10 +43,14 @@ _VALUE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_B))
 
 
 def _grown(n: int) -> list[np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 16)
-        _powers[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)])) for b in (_B, _B_INV)]
-    return _powers
+    """Powers of B and of its inverse, n at least; those of very long texts are not held on to."""
+    if _powers and len(_powers[0]) >= n:
+        return _powers
+    size = max(n, 1 << 16)
+    found = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)])) for b in (_B, _B_INV)]
+    if size <= HELD:
+        _powers[:] = found
+    return found
 
 
 def normal(text: bytes, lower: bool = False) -> bytes:
@@ -71,8 +76,7 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.bincount(self.doc, minlength=self.n_docs)
 
-    def prefix(self) -> np.ndarray:
-        power = _grown(len(self.buf) + 1)[0]
+    def prefix(self, power: np.ndarray) -> np.ndarray:
         sums = np.zeros(len(self.buf) + 1, np.uint64)
         np.cumsum(_VALUE[self.buf] * power[: len(self.buf)], out=sums[1:])
         return sums
@@ -81,8 +85,9 @@ class Words:
         """The first word's index and the hash of each run of `window` words in one text."""
         first = np.arange(max(0, len(self.doc) - window + 1))
         first = first[self.doc[first] == self.doc[first + window - 1]]
-        s, e, sums = self.start[first], self.end[first + window - 1], self.prefix()
-        h = (sums[e] - sums[s]) * _grown(len(self.buf) + 1)[1][s]
+        power, back = _grown(len(self.buf) + 1)
+        s, e, sums = self.start[first], self.end[first + window - 1], self.prefix(power)
+        h = (sums[e] - sums[s]) * back[s]
         return first, mix(h ^ ((e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
 
     def apart(self) -> np.ndarray:

@@ -24,7 +24,7 @@ LABELLED_ROWS = 20_000  # about so many labelled rows at most are learned from,
 PREFIXES = range(3, 10)
 EDIT_FROM = {True: 4, False: 5}  # letters from which whole words, and beginnings of words, may have an edit
 WINDOW = 8
-MEMO = 300_000
+MEMO = 150_000
 QUOTES = "\"'“”„‘’«»‹›`"
 STRIPPED = "".join(map(chr, range(33, 127)))
 STRIPPED = "".join(c for c in STRIPPED if not c.isalpha()) + QUOTES + "…–—¿¡·"
